@@ -89,11 +89,11 @@ def chunked_previous(
     The first row of a chunk takes the last row of the chunk before it, from a
     table with one row per (key, chunk).
     """
-    w = Window.partitionBy(*keys, *chunk).orderBy(*order)
+    w = Window.partitionBy(*keys, *chunk).orderBy(*[o.asc_nulls_last() for o in order])
     packed = F.struct(*[F.col(c) for c in carry])
     inside = df.withColumn("_prev", F.lag(packed).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     tails = (
-        df.withColumn("_last", F.row_number().over(Window.partitionBy(*keys, *chunk).orderBy(*[_reverse(o) for o in order])))
+        df.withColumn("_last", F.row_number().over(Window.partitionBy(*keys, *chunk).orderBy(*[o.desc_nulls_first() for o in order])))
         .where(F.col("_last") == 1)
         .select(*keys, *chunk, packed.alias("_tail"))
     )
@@ -107,11 +107,6 @@ def chunked_previous(
     return out.drop("_prev", "_first", "_carried", "_p")
 
 
-def _reverse(order: Column) -> Column:
-    """Opposite of an ``asc_nulls_last`` ordering column built by this package."""
-    return order.desc_nulls_first()
-
-
 def chunked_running_sum(
     df: DataFrame, keys: list[str], chunk: list[str], order: list[Column], value: Column, name: str
 ) -> DataFrame:
