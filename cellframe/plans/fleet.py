@@ -148,3 +148,49 @@ def cycle_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.fill_record(sheets.parse_record(raw_record(spark, sf_dir)))
+
+
+def raw_flight_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record sheet with six samples per step and a step time that starts again at every step.
+
+    A third of the cycles carry no telling step text, one file in nine has no
+    dates, and some standby steps never advance their clock.
+    """
+    samples = 6
+    x = raw_step(spark, sf_dir).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    k = F.floor(F.col("src_ord") / F.lit(16)).cast("bigint")
+    s = F.col("s").cast("double")
+    step_no = F.col("Step Index")
+    onset, end = F.col("Oneset Date"), F.col("End Date")
+    span = F.unix_micros(end) - F.unix_micros(onset)
+    cell = F.regexp_extract("file", r"_(\d+)\.", 1).cast("bigint")
+    date = F.when(F.pmod(cell, F.lit(9)) != 2, F.timestamp_micros(F.unix_micros(onset) + F.floor(span * F.col("s") / F.lit(samples)).cast("bigint")))
+    still = (step_no == 6) & (F.pmod(k, F.lit(31)) == 0)
+    time_h = F.when(still, F.lit(0.0)).otherwise(F.coalesce(F.col("Step Time(h)"), F.lit(0.3)) * s / F.lit(5.0))
+    v0 = F.coalesce(F.col("Oneset Volt.(V)"), F.lit(3.0))
+    v = v0 + (F.coalesce(F.col("End Voltage(V)"), F.lit(3.0)) - v0) * s / F.lit(5.0)
+    kind = F.trim(F.col("Step Type"))
+    return x.select(
+        "file", (F.col("src_ord") * samples + F.col("s")).alias("rec_no"), "Cycle Index",
+        F.when(F.pmod(k, F.lit(3)) == 0, F.lit("Step")).otherwise(kind).alias("Step Type"), date.alias("Date"), time_h.alias("Time(h)"),
+        v.alias("Voltage(V)"), F.lit(1.0).alias("Current(A)"),
+        F.lit(None).cast("double").alias("Chg. Cap.(Ah)"), F.lit(None).cast("double").alias("DChg. Cap.(Ah)"), F.lit(None).cast("double").alias("Energy(Wh)"),
+    )
+
+
+def legacy_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets.parse_legacy_step(raw_step(spark, sf_dir)).withColumnRenamed("cycle_index", "Cycle")
+
+
+def legacy_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellframe.operators.rules import first_per_cycle
+
+    return first_per_cycle(sheets.parse_legacy_cycle(raw_cycle(spark, sf_dir)))
+
+
+def legacy_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets.parse_legacy_record(raw_record(spark, sf_dir)).withColumnRenamed("cycle_index", "Cycle")
+
+
+def flight_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets.parse_legacy_record(raw_flight_record(spark, sf_dir)).withColumnRenamed("cycle_index", "Cycle")
