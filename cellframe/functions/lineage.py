@@ -1,25 +1,38 @@
-"""Cutting lineage at a place every executor can reach."""
+"""Stage tables: cutting lineage at a place every executor can reach."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def stage_root(spark: SparkSession) -> str:
+    """Shared folder for stage tables: the one the session names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own, which
+    goes away with the process.
+    """
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        shared = tempfile.mkdtemp(prefix="cellframe-stages-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` for data that several jobs read again.
+    """``df`` as a written parquet table that later steps read instead of recomputing it.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
-    a local session without that setting gets a folder of its own.
+    Unlike a cached block the table survives lost executors; unlike a row
+    checkpoint it keeps column pruning, and its file sizes are real statistics
+    for the join planner.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-            shared = tempfile.mkdtemp(prefix="cellframe-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{stage_root(df.sparkSession)}/cellframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -30,7 +30,6 @@ def salted_lookup(
     salt_from: list[str],
     how: str = "left",
     salts: int = SALTS,
-    keep_salt: bool = False,
 ) -> DataFrame:
     """Equi-join of ``rows`` (any skew on ``on``) with ``lookup`` (few rows per key).
 
@@ -39,8 +38,7 @@ def salted_lookup(
     later aggregate on ``on``, which therefore combines map-side, and which
     lets AQE split a partition that is still too large.
     """
-    out = rows.withColumn(SALT, salt_of(salt_from, salts)).join(with_all_salts(lookup, salts), [*on, SALT], how)
-    return out if keep_salt else out.drop(SALT)
+    return rows.withColumn(SALT, salt_of(salt_from, salts)).join(with_all_salts(lookup, salts), [*on, SALT], how).drop(SALT)
 
 
 def one_row(rows: DataFrame, single: DataFrame) -> DataFrame:
@@ -134,8 +132,8 @@ def exact_quantiles(
     """Exact linearly interpolated quantiles per key; no group is ever held in one task.
 
     1. a mergeable sketch brackets each wanted rank with two data values;
-    2. rows are reduced to (key, value, count), then everything below the
-       bracket collapses to one count and everything above it is dropped;
+    2. rows are reduced to (key, value, count), then everything below and
+       everything above the bracket collapses to one row each;
     3. the rank is read off the few values left in the bracket.
 
     The bracket spans about 4 / accuracy of the ranks.  If a sketch ever missed
@@ -166,23 +164,28 @@ def exact_quantiles(
         *ks, F.col("_w.i").alias("_i"), F.col("_w.lo").alias("_lo"), F.col("_w.hi").alias("_hi"), F.col("_w.h").alias("_h")
     )
     counts = rows.groupBy(*ks, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    # Below and above the bracket collapse to one row each, kept with the value next to the bracket.
     cells = (
         salted_lookup(counts, targets, ks, ["_v"], how="inner")
-        .where(F.col("_v") <= F.col("_hi"))
-        .withColumn("_cell", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-        .groupBy(*ks, "_i", "_h", "_cell")
-        .agg(F.sum("_c").alias("_c"))
+        .withColumn("_side", side)
+        .withColumn("_cell", F.when(F.col("_side") == 0, F.col("_v")))
+        .groupBy(*ks, "_i", "_h", "_side", "_cell")
+        .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
-    upto = Window.partitionBy(*ks, "_i", "_h").orderBy(F.col("_cell").asc_nulls_first())
+    upto = Window.partitionBy(*ks, "_i", "_h").orderBy("_side", F.col("_cell").asc_nulls_first())
     ranked = cells.withColumn("_cum", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    r0, r1 = F.floor("_h"), F.ceil("_h")
-    hit = F.col("_cell").isNotNull()
-    picked = ranked.groupBy(*ks, "_i", "_h").agg(
-        F.min(F.when(hit & (F.col("_cum") > r0), F.col("_cell"))).alias("_a"),
-        F.min(F.when(hit & (F.col("_cum") > r1), F.col("_cell"))).alias("_b"),
-        F.max(F.when(~hit, F.col("_cum"))).alias("_below"),
-    )
-    missed = F.col("_a").isNull() | F.col("_b").isNull() | (F.coalesce("_below", F.lit(0)) > r0)
+
+    def at(rank: Column) -> Column:
+        """Value at a 0-based rank: a bracket cell, or the one value beside the bracket."""
+        start = F.col("_cum") - F.col("_c")
+        here = (start <= rank) & (rank < F.col("_cum"))
+        beside = ((F.col("_side") == -1) & (rank == F.col("_cum") - 1)) | ((F.col("_side") == 1) & (rank == start))
+        value = F.when(F.col("_side") < 0, F.col("_max")).otherwise(F.col("_min"))
+        return F.max(F.when(here & ((F.col("_side") == 0) | beside), value))
+
+    picked = ranked.groupBy(*ks, "_i", "_h").agg(at(F.floor("_h")).alias("_a"), at(F.ceil("_h")).alias("_b"))
+    missed = F.col("_a").isNull() | F.col("_b").isNull()
     v = F.when(missed, F.raise_error(F.lit("quantile sketch missed a rank; raise accuracy")).cast("double")).otherwise(
         F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
     )

@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from cellframe.config import ALIGN_PHASES, META, SERIES, WINDOWS, GridSpec
 from cellframe.functions.coerce import seconds
-from cellframe.functions.skew import SALT, salt_of, with_all_salts
+from cellframe.functions.skew import SALT, salt_of, salted_lookup, with_all_salts
+from cellframe.functions.text import file_stem
+from cellframe.sources.sheets import chosen_power
 
 CYCLE = ["file", "Cycle"]
 
 
-def interval_join(rows: DataFrame, intervals: DataFrame, on: list[str], at: str, start: str, end: str, salt_from: list[str], keep_salt: bool = False) -> DataFrame:
+def interval_join(rows: DataFrame, intervals: DataFrame, on: list[str], at: str, start: str, end: str, salt_from: list[str]) -> DataFrame:
     """Rows whose ``at`` lies in [start, end] of an interval with the same keys, both ends included.
 
     Hash or merge join on the keys with the range as residual predicate; the
     rows of a hot key are spread by salt.
     """
     r = rows.withColumn(SALT, salt_of(salt_from))
-    j = r.join(with_all_salts(intervals), [*on, SALT]).where(F.col(at).between(F.col(start), F.col(end)))
-    return j if keep_salt else j.drop(SALT)
+    j = r.join(with_all_salts(intervals), [*on, SALT])
+    return j.where(F.col(at).between(F.col(start), F.col(end))).drop(SALT)
 
 
 def phase_windows(phases: DataFrame, names: list[str] = ALIGN_PHASES) -> DataFrame:
@@ -51,23 +53,28 @@ def phase_offsets(inside: DataFrame, n_phases: int = len(ALIGN_PHASES)) -> DataF
     )
 
 
-def align(record: DataFrame, phases: DataFrame, keep: list[str] = SERIES, names: list[str] = ALIGN_PHASES) -> DataFrame:
+def align(record: DataFrame, phases: DataFrame, keep: list[str] = SERIES, names: list[str] = ALIGN_PHASES, choices: DataFrame | None = None) -> DataFrame:
     """take_off, hover and cruise records of each cycle on one time axis ``x`` (seconds).
 
-    A record on a shared boundary appears in both phases.
+    A record on a shared boundary appears in both phases.  ``choices`` holds the
+    per-file decisions of P9; it travels with the phase rows, so that the
+    records need no join by file: one pass over their dates finds the offsets,
+    one pass over their values places them.
     """
     windows = phase_windows(phases, names)
+    rows = record.select(*CYCLE, "rec_no", "record_date", *keep)
     inside = interval_join(
-        record.select(*CYCLE, "rec_no", "record_date", *keep), windows, CYCLE, "record_date", "onset", "phase_end",
-        ["rec_no"], keep_salt=True,
+        rows.select(*CYCLE, "rec_no", "record_date"), windows, CYCLE, "record_date", "onset", "phase_end", ["rec_no"]
     )
-    offsets = phase_offsets(inside.select(*CYCLE, "ph", "record_date"), len(names))
+    offsets = phase_offsets(inside, len(names))
+    look = windows.join(offsets, [*CYCLE, "ph"])
+    if choices is not None:
+        look = salted_lookup(look, choices.select("file", "has_power"), ["file"], ["Cycle"])
+    out = interval_join(rows, look, CYCLE, "record_date", "onset", "phase_end", ["rec_no"])
+    if choices is not None and "power_w" in keep:
+        out = out.withColumn("power_w", chosen_power())
     x = seconds(F.col("record_date")) - seconds(F.col("t0")) + F.col("offset")
-    return (
-        inside.join(with_all_salts(offsets), [*CYCLE, "ph", SALT])
-        .withColumn("x", x)
-        .select(*CYCLE, "phase", "ph", "rec_no", "record_date", "x", *keep)
-    )
+    return out.withColumn("x", x).select(*CYCLE, "phase", "ph", "rec_no", "record_date", "x", *keep)
 
 
 def resample(aligned: DataFrame, grid: GridSpec = GridSpec(), features: list[str] = SERIES) -> DataFrame:
@@ -175,9 +182,6 @@ def prefixes(grid_rows: DataFrame, windows: list[int] = WINDOWS) -> DataFrame:
 
 def series_issues(master: DataFrame, known_files: DataFrame, valid: DataFrame, aligned: DataFrame, full: DataFrame | None) -> DataFrame:
     """why a master cycle has no series; the first failing stage names the reason."""
-    from cellframe.functions.skew import salted_lookup
-    from cellframe.functions.text import file_stem
-
     m = master.select("file", "Cycle", file_stem(F.col("file")).alias("file_key"))
     files = known_files.select(file_stem(F.col("file")).alias("file_key")).distinct().withColumn("_file", F.lit(True))
     j = salted_lookup(m, files, ["file_key"], ["Cycle"])
@@ -200,9 +204,6 @@ def match_raw_files(master: DataFrame, raw_files: DataFrame) -> DataFrame:
 
     ``raw_file`` is null where none exists.
     """
-    from cellframe.functions.skew import salted_lookup
-    from cellframe.functions.text import file_stem
-
     best = raw_files.groupBy(file_stem(F.col("file")).alias("file_key")).agg(F.max("file").alias("raw_file"))
     rows = master.withColumn("file_key", file_stem(F.col("file")))
     return salted_lookup(rows, best, ["file_key"], ["Cycle"])

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from cellframe.config import CLASSES, LEGACY17, SERIES, WINDOWS, GridSpec
 from cellframe.functions import coerce, metrics, text
-from cellframe.functions.skew import exact_quantiles
+from cellframe.functions.lineage import materialise
 from cellframe.operators import align, augment, evaluate, features, master, model_data, record_labels, rules, stats, step_ends, structure, train
 from cellframe.plans import fleet
 from cellframe.sources import labels, sheets
@@ -52,7 +52,7 @@ def valid_cycles(spark, sf) -> DataFrame:
 
 
 def named_phases(spark, sf) -> DataFrame:
-    return structure.phase_steps(fleet.step(spark, sf), valid_cycles(spark, sf))
+    return materialise(structure.phase_steps(fleet.step(spark, sf), valid_cycles(spark, sf)))
 
 
 def cycle_master(spark, sf) -> DataFrame:
@@ -60,7 +60,8 @@ def cycle_master(spark, sf) -> DataFrame:
 
 
 def aligned(spark, sf) -> DataFrame:
-    return align.align(fleet.record(spark, sf), named_phases(spark, sf))
+    rec = fleet.record(spark, sf)
+    return align.align(rec, named_phases(spark, sf), choices=sheets.record_choices(rec))
 
 
 def grid(spark, sf) -> DataFrame:
@@ -153,7 +154,7 @@ def _(spark, sf):
 
 @query("S06_P09_P10_record_scan")
 def _(spark, sf):
-    r = fleet.record(spark, sf)
+    r = sheets.fill_record(fleet.record(spark, sf))
     return rounded(r.groupBy("file", "Cycle").agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(f"sum_{c}") for c in [*SERIES, "time_sec_raw"]], F.sum(coerce.seconds(F.col("record_date"))).alias("sum_date"),
     ))
@@ -418,7 +419,7 @@ def _(spark, sf):
 
 @query("F07_series_issues")
 def _(spark, sf):
-    g = grid(spark, sf)
+    g = materialise(grid(spark, sf))
     known = fleet.table(spark, sf, "customer").where(F.pmod("c_custkey", F.lit(11)) != 0).select(F.concat(F.lit("cell_"), F.col("c_custkey").cast("string"), F.lit(".xls")).alias("file"))
     # every kept cycle is asked for here, so that invalid structures are reported too
     asked = structure.drop_formation_and_last(structure.step_counts(fleet.step(spark, sf)).select(*KEYS))
@@ -481,12 +482,12 @@ def _(spark, sf):
 
 @query("A07_linearity")
 def _(spark, sf):
-    return rounded(record_labels.linearity(record_labels.middle_window(fleet.legacy_record(spark, sf))))
+    return rounded(record_labels.linearity(materialise(record_labels.middle_window(fleet.legacy_record(spark, sf)))))
 
 
 @query("A10_slope_variability")
 def _(spark, sf):
-    return rounded(record_labels.slope_variability(record_labels.middle_window(fleet.legacy_record(spark, sf))))
+    return rounded(record_labels.slope_variability(materialise(record_labels.middle_window(fleet.legacy_record(spark, sf)))))
 
 
 @query("A11_resistance")
@@ -497,7 +498,7 @@ def _(spark, sf):
 
 @query("A08_A09_robust_bounds")
 def _(spark, sf):
-    return rounded(record_labels.robust_bounds(sheet_labels(spark, sf), ["CE", "IR_proxy", "DChg_Cap_Ah"], 5.0))
+    return rounded(record_labels.robust_bounds(materialise(sheet_labels(spark, sf)), ["CE", "IR_proxy", "DChg_Cap_Ah"], 5.0))
 
 
 @query("R05_R06_P12_P19_record_metrics")
@@ -554,7 +555,7 @@ def _(spark, sf):
 
 @query("W03_W04_W05_segments")
 def _(spark, sf):
-    return rounded(step_ends.segment_ends(step_ends.segment(fleet.flight_record(spark, sf))))
+    return rounded(step_ends.segment_ends(materialise(step_ends.segment(fleet.flight_record(spark, sf)))))
 
 
 @query("W06_L04_picked_segments")
@@ -587,7 +588,7 @@ def _(spark, sf):
 
 @query("A12_step_end_summary")
 def _(spark, sf):
-    ends = step_ends.end_table(_picked(spark, sf))
+    ends = materialise(step_ends.end_table(_picked(spark, sf)))
     cols = [*step_ends.END_COLUMNS, "standby_t_end_h"]
     per_file = stats.mean_median(ends, cols, ["file"])
     fleet_wide = stats.mean_median(ends, cols).withColumn("file", F.lit("(all)"))
@@ -598,7 +599,7 @@ def _(spark, sf):
 
 
 def _quant(spark, sf) -> DataFrame:
-    return stats.with_quant_columns(labels.with_defaults(sheet_labels(spark, sf)))
+    return materialise(stats.with_quant_columns(labels.with_defaults(sheet_labels(spark, sf))))
 
 
 @query("A13_J11_failures_by_cycle")
@@ -626,7 +627,7 @@ def _(spark, sf):
 
 def _cells(spark, sf) -> DataFrame:
     """Labelled cycles with numeric columns, the light-weight table for the preparation steps."""
-    return cycle_master(spark, sf)
+    return materialise(cycle_master(spark, sf).drop("battery_label_3class", "battery_label_3name"))
 
 
 PREP = ["CE", "IR_proxy", "DChg_Spec_mAhg", "Chg_Energy_Wh", "standby_V_end", "standby_t_end_h"]

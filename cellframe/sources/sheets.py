@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.functions import coerce
-from cellframe.functions.text import norm_key_str, norm_text, norm_text_str
+from cellframe.functions.skew import salted_lookup
+from cellframe.functions.text import file_stem, norm_key_str, norm_text, norm_text_str
 
 # Header spellings of the cycler exports, by canonical column.
 # (canonical, kind, required, candidate headers)
@@ -164,30 +165,29 @@ def parse_record(df: DataFrame) -> DataFrame:
     )
 
 
-def fill_record(rec: DataFrame, salt_from: list[str] = ("Cycle", "rec_no")) -> DataFrame:
-    """Choices made once per file.
+def record_choices(rec: DataFrame) -> DataFrame:
+    """What each file has, from one map-side combined aggregate."""
+    return rec.groupBy("file").agg(
+        (F.count("power_w") > 0).alias("has_power"),
+        (F.count("time_h") > 0).alias("has_time"),
+        (F.count("total_time_h") > 0).alias("has_total_time"),
+    )
 
-    Power is V*I when the file has no power value at all; raw seconds come from
-    ``time_h`` when the file has any, else from ``total_time_h``.
-    """
-    from cellframe.functions.skew import salted_lookup
 
-    has = rec.groupBy("file").agg(
-        (F.count("power_w") > 0).alias("_has_power"),
-        (F.count("time_h") > 0).alias("_has_time"),
-        (F.count("total_time_h") > 0).alias("_has_total"),
-    )
-    out = salted_lookup(rec, has, ["file"], list(salt_from))
-    return (
-        out.withColumn(
-            "power_w", F.when(F.col("_has_power"), F.col("power_w")).otherwise(F.col("voltage_v") * F.col("current_a"))
-        )
-        .withColumn(
-            "time_sec_raw",
-            F.when(F.col("_has_time"), F.col("time_h") * 3600.0).when(F.col("_has_total"), F.col("total_time_h") * 3600.0),
-        )
-        .drop("_has_power", "_has_time", "_has_total")
-    )
+def chosen_power() -> Column:
+    """V*I for files without any power value."""
+    return F.when(F.col("has_power"), F.col("power_w")).otherwise(F.col("voltage_v") * F.col("current_a"))
+
+
+def chosen_seconds() -> Column:
+    """P10: step time if the file has any, else total time."""
+    return F.when(F.col("has_time"), F.col("time_h") * 3600.0).when(F.col("has_total_time"), F.col("total_time_h") * 3600.0)
+
+
+def fill_record(rec: DataFrame, salt_from: list[str] = ("Cycle", "rec_no")) -> DataFrame:
+    """P9, P10 on every record.  The alignment attaches the choices to its phase table instead and saves this join."""
+    out = salted_lookup(rec, record_choices(rec), ["file"], list(salt_from))
+    return out.withColumn("power_w", chosen_power()).withColumn("time_sec_raw", chosen_seconds()).drop("has_power", "has_time", "has_total_time")
 
 
 def parse_legacy_step(df: DataFrame) -> DataFrame:
@@ -236,8 +236,6 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
 
 def load_master(df: DataFrame) -> DataFrame:
     """Stored cycle master with its join key."""
-    from cellframe.functions.text import file_stem
-
     out = require_columns(df, ["file", "Cycle", "Label", "cycle_label_3class", "cycle_label_3name"])
     return (
         out.withColumn("Cycle", coerce.whole(F.col("Cycle"))).dropna(subset=["Cycle"]).withColumn("file_key", file_stem(F.col("file")))

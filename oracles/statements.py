@@ -190,16 +190,16 @@ for n, c in (("energy", "en"), ("dchg_cap", "dc"), ("dchg_spec", "ds")):
 # first position of the minimum: smallest t among the rows at the minimum
 block("feat0", ["seq"], f"""SELECT {K}, w, """ + ", ".join(f'{e} AS "{a}"' for a, e in AGG if a != "V_min_idx") + f" FROM seq JOIN {WIN} ON t <= w GROUP BY {K}, w")
 block("featpos", ["seq", "feat0"], """
-SELECT s.file, s."Cycle", f.w, CAST(min(s.t) AS DOUBLE) AS "V_min_idx", sum(s.v - f.v0) FILTER (s.t < f.w) AS rel_area_unused
+SELECT s.file, s."Cycle", f.w, CAST(min(s.t) AS DOUBLE) AS "V_min_idx"
 FROM seq s JOIN feat0 f ON s.file = f.file AND s."Cycle" = f."Cycle" AND s.t <= f.w AND s.v = f."V_min" GROUP BY s.file, s."Cycle", f.w""")
 block("featarea", ["seq", "feat0"], """
 SELECT s.file, s."Cycle", f.w, coalesce(sum(s.v - f.v0) FILTER (s.t < f.w), 0e0) AS "traj_V_rel_area"
 FROM seq s JOIN feat0 f ON s.file = f.file AND s."Cycle" = f."Cycle" AND s.t <= f.w GROUP BY s.file, s."Cycle", f.w""")
 DER = {
     "V_drop_end": 'v0 - "V_end"', "V_sag": 'v0 - "V_min"', "V_sag_ratio": '(v0 - "V_min") / (abs(v0) + 1e-8)', "energy_per_I": 'energy_ws / ("I_abs_mean" + 1e-8)',
-    "IR_early": '(v0 - "V_end") / ("I_abs_mean" + 1e-8)', "V_drop_1s": "v0 - v1", "V_drop_2s": "v0 - v2", "V_slope_global": '("V_end" - v0) / w', "V_sag_norm": '(v0 - "V_min") / ("I_abs_mean" + 1e-8)',
+    "IR_early": '(v0 - "V_end") / ("I_abs_mean" + 1e-8)', "V_drop_1s": "v0 - v1", "V_drop_2s": "v0 - v2", "V_slope_global": '("V_end" - v0) / f.w', "V_sag_norm": '(v0 - "V_min") / ("I_abs_mean" + 1e-8)',
     "voltage_recovery": '"V_end" - "V_min"', "power_cv": "power_std / (abs(power_mean) + 1e-8)", "traj_V_roll3_drop_max": 'CASE WHEN n < 3 THEN 0e0 ELSE "V_roll3_drop_max" END',
-    "energy_slope_global": "(energy_end - energy0) / w", "dchg_cap_slope_global": "(dchg_cap_end - dchg_cap0) / w", "dchg_spec_slope_global": "(dchg_spec_end - dchg_spec0) / w",
+    "energy_slope_global": "(energy_end - energy0) / f.w", "dchg_cap_slope_global": "(dchg_cap_end - dchg_cap0) / f.w", "dchg_spec_slope_global": "(dchg_spec_end - dchg_spec0) / f.w",
 }
 ALIASES = {"traj_V_drop_1": "V_drop_1s", "traj_V_drop_2": "V_drop_2s", "traj_V_slope_global": "V_slope_global", "traj_V_sag_norm": "V_sag_norm", "traj_V_recovery": "voltage_recovery", "traj_power_cv": "power_cv"}
 block("feat", ["feat0", "featpos", "featarea"], "SELECT *, " + ", ".join(f'"{s}" AS "{a}"' for a, s in ALIASES.items()) + """,
