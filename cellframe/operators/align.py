@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellframe.config import ALIGN_PHASES, META, SERIES, WINDOWS, GridSpec
 from cellframe.functions.coerce import seconds
+from cellframe.functions.lineage import materialise
 from cellframe.functions.skew import SALT, salt_of, salted_lookup, with_all_salts
 from cellframe.functions.text import file_stem
 from cellframe.sources.sheets import chosen_power
@@ -53,25 +54,32 @@ def phase_offsets(inside: DataFrame, n_phases: int = len(ALIGN_PHASES)) -> DataF
     )
 
 
-def align(record: DataFrame, phases: DataFrame, keep: list[str] = SERIES, names: list[str] = ALIGN_PHASES, choices: DataFrame | None = None) -> DataFrame:
-    """take_off, hover and cruise records of each cycle on one time axis ``x`` (seconds).
+def placements(record: DataFrame, phases: DataFrame, names: list[str] = ALIGN_PHASES, choices: DataFrame | None = None) -> DataFrame:
+    """Where each phase of a cycle lies on the common axis; one row per phase, written once.
 
-    A record on a shared boundary appears in both phases.  ``choices`` holds the
-    per-file decisions of P9; it travels with the phase rows, so that the
-    records need no join by file: one pass over their dates finds the offsets,
-    one pass over their values places them.
+    Reads only the keys and dates of the records.  ``choices`` holds the
+    per-file decisions of P9, which travel with these few rows so that the
+    records need no join by file.
     """
     windows = phase_windows(phases, names)
-    rows = record.select(*CYCLE, "rec_no", "record_date", *keep)
     inside = interval_join(
-        rows.select(*CYCLE, "rec_no", "record_date"), windows, CYCLE, "record_date", "onset", "phase_end", ["rec_no"]
+        record.select(*CYCLE, "rec_no", "record_date"), windows, CYCLE, "record_date", "onset", "phase_end", ["rec_no"]
     )
-    offsets = phase_offsets(inside, len(names))
-    look = windows.join(offsets, [*CYCLE, "ph"])
+    out = windows.join(phase_offsets(inside, len(names)), [*CYCLE, "ph"])
     if choices is not None:
-        look = salted_lookup(look, choices.select("file", "has_power"), ["file"], ["Cycle"])
-    out = interval_join(rows, look, CYCLE, "record_date", "onset", "phase_end", ["rec_no"])
-    if choices is not None and "power_w" in keep:
+        out = salted_lookup(out, choices.select("file", "has_power"), ["file"], ["Cycle"])
+    return materialise(out)
+
+
+def align(record: DataFrame, placed: DataFrame, keep: list[str] = SERIES) -> DataFrame:
+    """take_off, hover and cruise records of each cycle on one time axis ``x`` (seconds).
+
+    ``placed`` comes from :func:`placements`.  A record on a shared boundary
+    appears in both phases.
+    """
+    rows = record.select(*CYCLE, "rec_no", "record_date", *keep)
+    out = interval_join(rows, placed, CYCLE, "record_date", "onset", "phase_end", ["rec_no"])
+    if "has_power" in placed.columns and "power_w" in keep:
         out = out.withColumn("power_w", chosen_power())
     x = seconds(F.col("record_date")) - seconds(F.col("t0")) + F.col("offset")
     return out.withColumn("x", x).select(*CYCLE, "phase", "ph", "rec_no", "record_date", "x", *keep)
@@ -84,53 +92,62 @@ def resample(aligned: DataFrame, grid: GridSpec = GridSpec(), features: list[str
     one after it.  So each record falls in bin ceil(x / dt) and every bin keeps
     its first and last support per feature: one map-side combined aggregate
     that leaves at most ``last + 2`` rows per cycle, whatever its length.  The
-    windows then run over those rows.  No extrapolation; of equal times the
-    earliest (phase, record) counts; a single support is used only where the
-    grid meets it.
+    windows run over those rows, and each row then yields the grid points up to
+    the next one.  No extrapolation; of equal times the earliest (phase,
+    record) counts; a single support is used only where the grid meets it.
     """
     last, dt = grid.last, float(grid.dt_sec)
     bins = F.greatest(F.lit(0), F.least(F.lit(last + 1), F.ceil(F.col("x") / F.lit(dt)))).cast("int")
-    cols = [*CYCLE, "bin", "x", "ph", "rec_no", *features]
-    filled = aligned.withColumn("bin", bins).select(*cols)
-    # Empty rows for every grid point of every cycle, so that each bin exists after the aggregate.
-    points = (
-        aligned.groupBy(*CYCLE).agg(F.lit(1).alias("_one")).select(*CYCLE, F.explode(F.sequence(F.lit(0), F.lit(last))).alias("bin"))
-    )
-    rows = filled.unionByName(points, allowMissingColumns=True)
-    aggs = []
+    filled = aligned.select(*CYCLE, bins.alias("bin"), "x", "ph", "rec_no", *features)
+    ends = []
     for f in features:
-        has = F.col(f).isNotNull()
-        aggs += [
-            F.min(F.when(has, F.struct(F.col("x").alias("x"), F.col("ph"), F.col("rec_no"), F.col(f).alias("y")))).alias(f"{f}_first"),
-            F.max(F.when(has, F.struct(F.col("x").alias("x"), (-F.col("ph")).alias("p"), (-F.col("rec_no")).alias("r"), F.col(f).alias("y")))).alias(f"{f}_last"),
-        ]
-    ends = rows.groupBy(*CYCLE, "bin").agg(*aggs)
-    order = Window.partitionBy(*CYCLE).orderBy("bin")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy(*CYCLE)
-    t = F.col("bin").cast("double") * F.lit(dt)
-    out = ends
-    picks = {}
+        has, y = F.col(f).isNotNull(), F.col(f).alias("y")
+        first = F.struct(F.col("x"), F.col("ph"), F.col("rec_no"), y)
+        final = F.struct(F.col("x"), -F.col("ph"), -F.col("rec_no"), y)
+        ends += [F.min(F.when(has, first)).alias(f"{f}_first"), F.max(F.when(has, final)).alias(f"{f}_last")]
+    flat = []
     for f in features:
-        picks[f"{f}_a"] = F.last(f"{f}_last", ignorenulls=True).over(upto)
-        picks[f"{f}_b"] = F.first(f"{f}_first", ignorenulls=True).over(after)
-        picks[f"{f}_lo"] = F.min(f"{f}_first").over(whole)
-        picks[f"{f}_hi"] = F.max(f"{f}_last").over(whole)
-    out = out.withColumns(picks).where(F.col("bin") <= last)
+        flat += [F.col(f"{f}_{side}")[c].alias(f"{f}_{c}{n}") for n, side in enumerate(("first", "last")) for c in "xy"]
+    per_bin = filled.groupBy(*CYCLE, "bin").agg(*ends).select(*CYCLE, "bin", *flat)
+    # Both directions look backwards along their own order, so every frame grows by one row at a time.
+    up, down = Window.partitionBy(*CYCLE).orderBy("bin"), Window.partitionBy(*CYCLE).orderBy(F.desc("bin"))
+    upto, after = up.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+    picks = {"_next": F.lag("bin").over(down), "_lead_in": F.lag("bin").over(up).isNull()}
+    for f in features:
+        picks[f"{f}_ax"] = F.last(f"{f}_x1", ignorenulls=True).over(upto)
+        picks[f"{f}_ay"] = F.last(f"{f}_y1", ignorenulls=True).over(upto)
+        picks[f"{f}_amin"] = F.min(f"{f}_x0").over(upto)
+        picks[f"{f}_bx"] = F.last(f"{f}_x0", ignorenulls=True).over(after)
+        picks[f"{f}_by"] = F.last(f"{f}_y0", ignorenulls=True).over(after)
+        picks[f"{f}_bmax"] = F.max(f"{f}_x1").over(after)
+    start = F.when(F.col("_lead_in"), F.lit(0)).otherwise(F.col("bin"))
+    stop = F.coalesce(F.col("_next") - 1, F.lit(last))
+    placed = per_bin.withColumns(picks).where(start <= F.least(stop, F.lit(last)))
+    points = placed.withColumn("idx", F.explode(F.sequence(start, F.least(stop, F.lit(last)))))
+    t = F.col("idx").cast("double") * F.lit(dt)
     values = [_interpolated(f, t).alias(f) for f in features]
-    return out.select(*CYCLE, F.col("bin").alias("idx"), (F.col("bin") * F.lit(grid.dt_sec)).cast("int").alias("t_sec"), *values)
+    return points.select(*CYCLE, "idx", (F.col("idx") * F.lit(grid.dt_sec)).cast("int").alias("t_sec"), *values)
 
 
 def _interpolated(f: str, t: Column) -> Column:
-    a, b, lo, hi = (F.col(f"{f}_{s}") for s in ("a", "b", "lo", "hi"))
-    line = (b["y"] - a["y"]) / (b["x"] - a["x"]) * (t - a["x"]) + a["y"]
-    single = lo["x"] == hi["x"]
-    near = F.abs(t - lo["x"]) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(lo["x"])
+    """Value at ``t`` from the support at or before it (a) and the first one after it (b).
+
+    Points ahead of the first bin have only that bin and later ones to look at.
+    Where one side has no support, the extremes of the other side tell whether
+    it is a single support, which is used only where the grid meets it.
+    """
+    c = lambda s: F.col(f"{f}_{s}")
+    ahead = F.col("idx") < F.col("bin")
+    ax, ay = F.when(~ahead, c("ax")), c("ay")
+    bx = F.when(ahead, F.coalesce(c("x0"), c("bx"))).otherwise(c("bx"))
+    by = F.when(ahead, F.when(c("x0").isNotNull(), c("y0")).otherwise(c("by"))).otherwise(c("by"))
+    bmax = F.when(ahead, F.greatest(c("x1"), c("bmax"))).otherwise(c("bmax"))
+    near = lambda x: F.abs(t - x) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(x)
     return (
-        F.when(single, F.when(near, lo["y"]))
-        .when(a["x"] == t, a["y"])
-        .when(a.isNotNull() & b.isNotNull(), line)
+        F.when(ax == t, ay)
+        .when(ax.isNotNull() & bx.isNotNull(), (by - ay) / (bx - ax) * (t - ax) + ay)
+        .when(bx.isNull() & (ax == c("amin")) & near(ax), ay)
+        .when(ax.isNull() & (bx == bmax) & near(bx), by)
     )
 
 

@@ -52,16 +52,20 @@ def valid_cycles(spark, sf) -> DataFrame:
 
 
 def named_phases(spark, sf) -> DataFrame:
-    return materialise(structure.phase_steps(fleet.step(spark, sf), valid_cycles(spark, sf)))
+    return structure.phase_steps(fleet.step(spark, sf), valid_cycles(spark, sf))
 
 
 def cycle_master(spark, sf) -> DataFrame:
     return master.build_master(fleet.step(spark, sf), fleet.cycle_sheet(spark, sf))[0]
 
 
-def aligned(spark, sf) -> DataFrame:
+def placed_phases(spark, sf) -> DataFrame:
     rec = fleet.record(spark, sf)
-    return align.align(rec, named_phases(spark, sf), choices=sheets.record_choices(rec))
+    return align.placements(rec, materialise(named_phases(spark, sf)), choices=sheets.record_choices(rec))
+
+
+def aligned(spark, sf) -> DataFrame:
+    return align.align(fleet.record(spark, sf), placed_phases(spark, sf))
 
 
 def grid(spark, sf) -> DataFrame:
@@ -378,10 +382,7 @@ def _(spark, sf):
 
 @query("W08_W09_phase_offsets")
 def _(spark, sf):
-    w = align.phase_windows(named_phases(spark, sf))
-    r = fleet.record(spark, sf).select(*KEYS, "rec_no", "record_date")
-    inside = align.interval_join(r, w, KEYS, "record_date", "onset", "phase_end", ["rec_no"])
-    return rounded(epoch(align.phase_offsets(inside), "t0"))
+    return rounded(epoch(placed_phases(spark, sf).select(*KEYS, "ph", "t0", "offset"), "t0"))
 
 
 @query("T01_aligned_series")
