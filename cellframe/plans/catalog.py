@@ -274,7 +274,7 @@ def _(spark, sf):
 @query("P11_P17_cycle_metrics")
 def _(spark, sf):
     li = fleet.table(spark, sf, "lineitem")
-    a, b, c, d = F.nullif(F.col("l_discount"), F.lit(0.05)), F.col("l_tax"), F.col("l_quantity"), F.col("l_extendedprice")
+    a, b, c, d = F.nullif(F.col("l_discount"), F.lit(0.05)), F.col("l_tax"), F.col("l_quantity"), F.col("l_extendedprice") * F.lit(1.00001371934562)
     return rounded(li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", metrics.ratio(a, b).alias("ratio"), metrics.ir_proxy(d, c, a, b).alias("ir_proxy"),
         metrics.landing_relative(a, c).alias("landing_ratio"), metrics.landing_relative(a, c, "difference").alias("landing_difference"),

@@ -120,7 +120,7 @@ def raw_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     v_dch = num(4.2) - (num(0.01) + num(0.009) * _mod(4)) * j - _mod(5) * num(0.003) * F.pmod(i - N_CHARGE, F.lit(4)).cast("double")
     v = F.when(chg, v_chg).when(F.pmod(F.col("k") + i - N_CHARGE, F.lit(23)) != 0, v_dch)
     # the factor keeps products with the voltage away from short decimals, whose rounding engines break differently
-    cur = F.when(chg, num(1.0) + _mod(3) * num(0.1)).otherwise(-(num(2.0) + _mod(4) * num(0.25) + num(0.01) * j)) * num(1.0000137)
+    cur = F.when(chg, num(1.0) + _mod(3) * num(0.1)).otherwise(-(num(2.0) + _mod(4) * num(0.25) + num(0.01) * j)) * num(1.00001371934562)
     secs = F.when(chg, i * 220 - 5400).otherwise((i - N_CHARGE) * (F.lit(2) + F.pmod("k", F.lit(3))))
     zero = num(0.0)
     return x.select(

@@ -86,7 +86,7 @@ SELECT file, c, k, k * 60 + i AS rec_no, "Cycle", CASE WHEN i < 24 THEN 'CC Chg'
   CASE WHEN c % 8 <> 1 THEN CASE WHEN i < 24 THEN CAST(i AS DOUBLE) * 0.06e0
        ELSE CAST(i - 24 AS DOUBLE) * 0.042e0 * CASE WHEN k % 9 = 0 THEN 0.8e0 ELSE 1e0 END END END AS time_h,
   CAST(i AS DOUBLE) * 0.05e0 AS total_time_h,
-  CASE WHEN i < 24 THEN 1e0 + {m(3)} * 0.1e0 ELSE -(2e0 + {m(4)} * 0.25e0 + 0.01e0 * CAST(i - 24 AS DOUBLE)) END * 1.0000137e0 AS current_a,
+  CASE WHEN i < 24 THEN 1e0 + {m(3)} * 0.1e0 ELSE -(2e0 + {m(4)} * 0.25e0 + 0.01e0 * CAST(i - 24 AS DOUBLE)) END * 1.00001371934562e0 AS current_a,
   CASE WHEN i < 24 THEN CASE WHEN k % 17 = 0 THEN 4.27e0 WHEN k % 19 = 0 THEN 4.3e0 - 0.1e0 * CAST((i * 7) % 5 AS DOUBLE)
          ELSE 3.6e0 + 0.03e0 * CAST(i AS DOUBLE) + 0.004e0 * CAST((i * k) % 3 AS DOUBLE) + {m(7)} * 0.01e0 END
        WHEN (k + i - 24) % 23 <> 0 THEN 4.2e0 - (0.01e0 + 0.009e0 * {m(4)}) * CAST(i - 24 AS DOUBLE) - {m(5)} * 0.003e0 * CAST((i - 24) % 4 AS DOUBLE) END AS voltage_v,
@@ -95,7 +95,7 @@ SELECT file, c, k, k * 60 + i AS rec_no, "Cycle", CASE WHEN i < 24 THEN 'CC Chg'
   CASE WHEN i < 24 THEN 0.08e0 * i ELSE 0e0 END AS chg_cap, CASE WHEN i < 24 THEN 6.5e0 * i ELSE 0e0 END AS chg_spec,
   CASE WHEN i < 24 THEN 0e0 ELSE 0.05e0 * (i - 24) + {m(6)} * 0.005e0 END AS dchg_cap, CASE WHEN i < 24 THEN 0e0 ELSE 3.9e0 * (i - 24) END AS dchg_spec,
   CASE WHEN i < 24 THEN 0.33e0 * i ELSE 0.19e0 * (i - 24) END AS energy_wh,
-  CASE WHEN c % 6 <> 0 THEN (CASE WHEN i < 24 THEN 1e0 + {m(3)} * 0.1e0 ELSE -(2e0 + {m(4)} * 0.25e0 + 0.01e0 * CAST(i - 24 AS DOUBLE)) END * 1.0000137e0) * 3.7e0 END AS power_raw
+  CASE WHEN c % 6 <> 0 THEN (CASE WHEN i < 24 THEN 1e0 + {m(3)} * 0.1e0 ELSE -(2e0 + {m(4)} * 0.25e0 + 0.01e0 * CAST(i - 24 AS DOUBLE)) END * 1.00001371934562e0) * 3.7e0 END AS power_raw
 FROM cyc CROSS JOIN (SELECT unnest(range(60)) AS i)""")
 
 block("record", ["record0"], """

@@ -99,7 +99,7 @@ add("P11_P17_cycle_metrics", [], f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r6("a / nullif(b, 0)", "ratio")}, {r6("d / nullif(c, 0) - a / nullif(b, 0)", "ir_proxy")}, {r6("a / nullif(c, 0)", "landing_ratio")},
   {r6("a - c", "landing_difference")}, {r6("a + b + c", "total")}, CAST(a IS NULL AS INTEGER) + CAST(b IS NULL AS INTEGER) AS missing, {r6("abs(a - 1e0)", "ce_dev")},
   {r6("CASE WHEN l_returnflag = 'A' THEN a ELSE b END", "sheet_value")}, {r6("CASE WHEN (b IS NULL OR b = 0) AND l_linenumber > 1 THEN c ELSE b END", "sheet_or_record")}
-FROM (SELECT *, nullif(l_discount, 0.05e0) AS a, l_tax AS b, l_quantity AS c, l_extendedprice AS d FROM lineitem)""")
+FROM (SELECT *, nullif(l_discount, 0.05e0) AS a, l_tax AS b, l_quantity AS c, l_extendedprice * 1.00001371934562e0 AS d FROM lineitem)""")
 add("P20_P21_canonical_label", [], """
 SELECT raw, label, count(*) AS n FROM (SELECT CASE o_orderkey % 8 WHEN 0 THEN ' Good_Drone ' WHEN 1 THEN '0' WHEN 2 THEN 'good_no_drone' WHEN 3 THEN '1' WHEN 4 THEN 'BAD' WHEN 5 THEN '2' WHEN 6 THEN 'GOOD_not_drone' ELSE 'Other' END AS raw,
  CASE o_orderkey % 8 WHEN 0 THEN 'GOOD_drone' WHEN 1 THEN 'BAD' WHEN 2 THEN 'good_no_drone' WHEN 3 THEN 'GOOD_not_drone' WHEN 4 THEN 'BAD' WHEN 5 THEN 'GOOD_drone' WHEN 6 THEN 'GOOD_not_drone' ELSE 'other' END AS label FROM orders) GROUP BY raw, label""")
