@@ -3,27 +3,40 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_runs: dict[str, str] = {}
+
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for stage tables: the one the session names in ``spark.checkpoint.dir``.
+    """Shared folder of this application's stage tables, removed when the process ends.
 
-    Only a local session without that setting gets a folder of its own, which
-    goes away with the process.
+    It lies in the folder that ``spark.checkpoint.dir`` names.  A session without
+    that setting gets one beside its tables, in the warehouse, which the driver
+    and the executors share as well.
     """
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        shared = tempfile.mkdtemp(prefix="cellframe-stages-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
+        _runs[app] = f"{base.rstrip('/')}/cellframe-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_drop, spark, _runs[app])
+    return _runs[app]
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder name under the stage root."""
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -33,6 +46,6 @@ def materialise(df: DataFrame) -> DataFrame:
     checkpoint it keeps column pruning, and its file sizes are real statistics
     for the join planner.
     """
-    path = f"{stage_root(df.sparkSession)}/cellframe-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
