@@ -19,6 +19,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -137,6 +138,7 @@ class Codec:
         self.label = {str(i): bytes(byte_of[c] for c in t) for t, i in model["vocab"].items()}
         self.special = {t["content"]: str(t["id"]) for t in spec.get("added_tokens", [])}
         self.label |= {i: t.encode() for t, i in self.special.items()}
+        self.label_of = {int(i): t for i, t in self.label.items()}
         self.split = regex.compile(SPLIT_PATTERN)
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """
     def run(s: pd.Series) -> pd.Series:
         codec = Codec.of(path)
-        return pd.Series([[int(i) for i in t.split(",")] if t else [] for t in map(codec.encode, s)])
+        return pd.Series([np.array(t.split(",") if t else [], dtype=np.int32) for t in map(codec.encode, s)], dtype=object)
 
     of = F.pandas_udf(run, "array<int>")
     return docs.withColumn(ids, of(F.coalesce(F.col(text), F.lit(""))))
@@ -194,7 +196,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     """Text of an array of token ids; null ids decode to the empty text."""
     def run(s: pd.Series) -> pd.Series:
         codec = Codec.of(path)
-        return pd.Series([codec.decode(",".join(map(str, x))) for x in s])
+        return pd.Series([b"".join(map(codec.label_of.__getitem__, x.tolist())).decode("utf-8", "replace") for x in s], dtype=object)
 
     of = F.pandas_udf(run, "string")
     return df.withColumn(text, of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))

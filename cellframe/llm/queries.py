@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.llm import (
-    bpe_automaton, capture_index, decontaminate, secret_scan, seed_extend, shards, spot_signatures, token_codes, toxicity,
+    bpe_automaton, capture_index, decontaminate, ngram_join, secret_scan, seed_extend, shards, spot_signatures, token_codes, toxicity,
 )
 
 #: Folder of the public tokenizers' files.
@@ -35,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -65,7 +69,7 @@ def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_codes, op2_secret_scan, op3_decontamination, op5_bpe_automaton, op6_toxicity, op7_shards, op8_capture_index, op9_seed_extend,
-        op10_spot_signatures,
+        op1_token_codes, op2_secret_scan, op3_decontamination, op4_ngram_join, op5_bpe_automaton, op6_toxicity, op7_shards, op8_capture_index,
+        op9_seed_extend, op10_spot_signatures,
     )
 }

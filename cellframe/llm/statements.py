@@ -18,6 +18,23 @@ SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containme
 FROM pairs JOIN sizes USING (item_id) WHERE n_shared / n_shingles >= 0.75
 """
 
+OP4 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:least(i + 4, len(w))], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pair_counts AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pair_counts JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT x, x AS y FROM (SELECT DISTINCT x FROM edges) UNION SELECT r.x, e.y FROM reached r JOIN edges e ON r.y = e.x),
+least_of AS (SELECT x AS doc_id, min(y) AS component FROM reached GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
 OP8 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
 d AS (SELECT page_id, n, sha256(html) AS digest FROM p),
@@ -44,4 +61,4 @@ SELECT doc_id, len(w) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coale
 FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
-STATEMENTS = {"op3_decontamination": OP3, "op8_capture_index": OP8, "op9_seed_extend": OP9}
+STATEMENTS = {"op3_decontamination": OP3, "op4_ngram_join": OP4, "op8_capture_index": OP8, "op9_seed_extend": OP9}
