@@ -47,5 +47,5 @@ def materialise(df: DataFrame) -> DataFrame:
     for the join planner.
     """
     path = stage_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
