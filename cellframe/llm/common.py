@@ -17,6 +17,7 @@ _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 CACHE_LIMIT = 400_000
+BLOOM_BITS = 1 << 24
 
 
 def words(text: str | None) -> list[str]:
@@ -80,12 +81,51 @@ def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[dict
             yield batch.slice(at, rows).to_pydict()
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def bloom(values: DataFrame, column: str) -> np.ndarray:
+    """Bits of a Bloom filter of fixed size over 64-bit values, built by a distributed aggregate.
 
-
-def with_key(df: DataFrame, column: Column, name: str) -> DataFrame:
-    return df.withColumn(name, F.sha2(column.cast("binary"), 256))
+    The bitmap functions count positions from 1.
+    """
+    places = F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(BLOOM_BITS - 1) + 1 for s in (0, 20, 40)])
+    bits = values.select(F.explode(places).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+    rows = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()  # BLOOM_BITS / 32768 rows at most
+    out = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
+    for r in rows:
+        raw = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+        at = (r.bucket - 1) * 4096
+        out[at : at + len(raw)] = raw
+    return out
+
+
+def passing(values: np.ndarray, bits: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Those values that may be in the filter, or their ``rows``; each test looks at what the one before left."""
+    out = values if rows is None else rows
+    for s in (0, 20, 40):
+        p = ((values >> np.uint64(s)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+        ok = bits[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0
+        values, out = values[ok], out[ok]
+    return out
+
+
+def likely(rows: DataFrame, wanted: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``rows`` without most of those whose id is not in ``wanted``, to spare a shuffle of their texts.
+
+    The filter has a fixed size.  It lets every wanted id pass, and more of the
+    others the more ids are wanted, so a join must follow.
+    """
+    hashed = wanted.select(F.xxhash64(F.col(column)).alias("h"))
+    bits = bloom(hashed, "h")
+    tagged = rows.withColumn("_h", F.xxhash64(F.col(column)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("_h")
+            h = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
+            rows = passing(h, bits, np.arange(len(h)))
+            if len(rows):
+                yield batch.take(pa.array(rows)).select([n for n in batch.schema.names if n != "_h"])
+
+    return tagged.mapInArrow(keep, rows.schema)
 
 
 def open_store(uri: str) -> tuple[arrow_fs.FileSystem, str]:
