@@ -24,6 +24,7 @@ from cellframe.llm.common import rows_of
 BUCKET_BITS = 18
 ORDERS = (3, 4, 5)
 PER_CLASS = 2500
+LEAST_ROWS = 5
 THRESHOLD = 0.3
 
 
@@ -56,7 +57,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def log_count_ratios(labelled: DataFrame) -> np.ndarray:
-    """Smoothed log ratio per bucket over all labelled rows (text, label); the result has a fixed size."""
+    """Smoothed log ratio per bucket over all labelled rows (text, label); the result has a fixed size.
+
+    Buckets met in fewer than ``LEAST_ROWS`` rows say nothing and get 0.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +79,13 @@ def log_count_ratios(labelled: DataFrame) -> np.ndarray:
     got = counts.toPandas()  # one row per bucket at most
     total = got[got["bucket"] < 0]
     n_pos, n_neg = (int(total["pos"].sum()), int(total["neg"].sum()))
-    got = got[got["bucket"] >= 0]
+    got = got[(got["bucket"] >= 0) & (got["pos"] + got["neg"] >= LEAST_ROWS)]
     ratio = np.zeros(1 << BUCKET_BITS)
     ratio[got["bucket"]] = np.log((got["pos"] + 1) / (n_pos + 2)) - np.log((got["neg"] + 1) / (n_neg + 2))
     return ratio
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, scale: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, scale: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge-penalised logistic regression on scaled 0/1 features, by L-BFGS."""
     at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     ids = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
