@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellframe.functions.lineage import materialise
 from cellframe.functions.skew import running_index
 from cellframe.sources import sheets
 
 CHUNK = 4096  # order keys per numbering chunk
 N_CHARGE, N_DISCHARGE = 24, 36  # records per cycle
+_numbered: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, Cycle, k, c, d0): position of each order within its customer.
 
-    The narrow rows are spread once before the sheets multiply them, so the
-    expansion runs on every core even when the order table is a single split.
+    Numbered once per application into a stage table that all sheets read.  The
+    narrow rows are spread before they are written, so that the sheets' expansion
+    runs on every core even when the order table is a single split.
     """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _numbered:
+        _numbered[key] = materialise(_number(spark, sf_dir))
+    return _numbered[key]
+
+
+def _number(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("d0"),
         F.floor(F.col("o_orderkey") / F.lit(CHUNK)).alias("chunk"),
