@@ -23,7 +23,7 @@ from cellframe.llm.common import rows_of
 
 BUCKET_BITS = 18
 ORDERS = (3, 4, 5)
-PER_CLASS = 2500
+PER_CLASS = 2000
 LEAST_ROWS = 5
 THRESHOLD = 0.3
 
@@ -86,19 +86,24 @@ def log_count_ratios(labelled: DataFrame) -> np.ndarray:
 
 
 def logistic(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, scale: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge-penalised logistic regression on scaled 0/1 features, by L-BFGS."""
-    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    ids = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    used, place = np.unique(ids, return_inverse=True)
-    x, row = scale[used][place], np.repeat(np.arange(len(rows)), np.diff(at))
+    """Weights and bias of a ridge-penalised logistic regression on scaled 0/1 features, by L-BFGS.
+
+    Works through the rows in blocks and keeps no value per feature and row but the bucket's number.
+    """
+    used = np.unique(np.concatenate([np.unique(np.concatenate(rows[at : at + 100])) for at in range(0, len(rows), 100)])) if rows else np.zeros(0, dtype=np.int32)
+    rows = [np.searchsorted(used, r).astype(np.int32) for r in rows]
+    scale_of = scale[used]
     share = share / share.sum()
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, x * w[:-1][place], len(rows)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        e = share * (p - y)
+        scaled = w[:-1] * scale_of
+        z = np.array([scaled[r].sum() for r in rows]) + w[-1]
+        e = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        grad = np.zeros(len(used))
+        for r, x in zip(rows, e, strict=True):
+            grad[r] += x  # a row has each bucket once
         value = float((share * (np.logaddexp(0, z) - y * z)).sum()) + ridge / 2 * float(w[:-1] @ w[:-1])
-        return value, np.concatenate([np.bincount(place, x * e[row], len(used)) + ridge * w[:-1], [e.sum()]])
+        return value, np.concatenate([grad * scale_of + ridge * w[:-1], [e.sum()]])
 
     w = np.zeros(len(used) + 1)
     w[-1] = np.log(max((share * y).sum(), 1e-3) / max((share * (1 - y)).sum(), 1e-3))
@@ -130,7 +135,7 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, scale: np
         if done:
             break
     out = np.zeros(len(scale))
-    out[used] = w[:-1] * scale[used]
+    out[used] = w[:-1] * scale_of
     return out, float(w[-1])
 
 
@@ -157,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in rows_of(batches):
-            buckets = [features(t).astype("<i4").tobytes() for t in cols["text"]]
+            buckets = [(f := features(t))[ratio[f] != 0].astype("<i4").tobytes() for t in cols["text"]]
             yield pa.RecordBatch.from_pydict({"label": cols["label"], "doc_id": cols["doc_id"], "buckets": buckets}, schema=schema)
 
     few = F.broadcast(some)  # 2 * per_class rows at most
