@@ -2,7 +2,7 @@
 
 Every occurrence of a common word (an anchor) gives a signature: the anchor and
 the chain of content words that follow it, common words skipped.  A text's
-beginning counts as an anchor.  The fingerprint is the sorted set of 32-bit
+beginning counts as an anchor.  The fingerprint is the sorted set of 24-bit
 signature hashes.  Two fingerprints are compared by Jaccard similarity; pairs
 whose set lengths or remaining signatures rule a threshold out are pruned.
 """
@@ -52,15 +52,16 @@ def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
     out = np.concatenate([np.zeros(1, dtype=np.uint64), h[spots[1:]]])
     for k in range(chain):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[np.minimum(first + k, len(words) - 1)])
-    return np.unique((out >> np.uint64(32)).astype(np.uint32))
+    return np.unique((out >> np.uint64(40)).astype(np.uint32))
 
 
 def fingerprint(sigs: np.ndarray) -> str:
-    return base64.b64encode(sigs.astype(">u4").tobytes()).decode()
+    return base64.b64encode(sigs.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()).decode()
 
 
 def from_fingerprint(value: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(value), dtype=">u4").astype(np.uint32)
+    b = np.frombuffer(base64.b64decode(value), dtype=np.uint8).reshape(-1, 3).astype(np.uint32)
+    return b[:, 0] << 16 | b[:, 1] << 8 | b[:, 2]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
