@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,9 +186,11 @@ def library_words(text: str) -> list[str]:
     return text.split()
 
 
-MANIFEST = "shard int, folder string, name string, n_docs long, n_tokens long"
-CODED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
-SHARDS = pa.schema([("shard", pa.int32()), ("folder", pa.string()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+MANIFEST = "part int, shard int, folder string, name string, n_docs long, n_tokens long"
+CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+SHARDS = pa.schema([
+    ("part", pa.int32()), ("shard", pa.int32()), ("folder", pa.string()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
+])
 
 
 def write(
@@ -195,60 +198,55 @@ def write(
 ) -> DataFrame:
     """Encode every whole text (doc_id, text) and write shards in ascending doc_id order; return their manifest.
 
-    Shards are ranges of doc_id of about ``chars_per_shard`` characters: their
-    bounds come from the ids alone, so that the encoding runs once.  A null text
-    counts as empty and has the end id only, a null doc_id comes first, rows
-    with the same doc_id stand side by side in the order of their ids' bytes,
-    and no documents give no shards.  The manifest, a written table, has one row
-    per shard.
+    The ids are written once and then dealt out by ranges of doc_id of about
+    ``chars_per_shard`` characters; a range with more is cut into several
+    shards, so that no task holds more than one.  A null text counts as empty
+    and has the end id only, a null doc_id comes first, rows with the same
+    doc_id stand side by side in the order of their ids' bytes, and no documents
+    give no shards.  The manifest, a written table, has one row per shard.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = size // chars_per_shard + 1
-    bounds = np.array([], dtype=np.int64)
-    if n > 1:  # one bound per shard
-        cut = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0]
-        bounds = np.unique(np.array(cut or [], dtype=np.int64))
+    ranges = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // chars_per_shard + 1
     folder = stage_path(spark, "token-shards")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder.of(path)
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         for cols in rows_of(batches, 200):
-            shard = [0 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in cols["doc_id"]]
-            ids = [raw + end for raw in coder.encode(cols["text"])]
-            yield pa.RecordBatch.from_pydict({"shard": shard, "doc_id": cols["doc_id"], "ids": ids}, schema=CODED)
+            yield pa.RecordBatch.from_pydict({"doc_id": cols["doc_id"], "ids": [raw + end for raw in coder.encode(cols["text"])]}, schema=CODED)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(shard: int) -> pa.RecordBatch:
+        part = TaskContext.get().partitionId()
+        doc_ids, raw, held, shard = [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
             parts = shard_bytes(doc_ids, np.cumsum([len(x) // 4 for x in raw]), np.frombuffer(b"".join(raw), dtype="<u4"), widths)
-            name = f"{shard:08d}.dac"
+            name = f"{part:06d}-{shard:04d}.dac"
             put_file(folder, name, parts, uuid.uuid4().hex)
-            row = {"shard": [shard], "folder": [folder], "name": [name], "n_docs": [len(raw)], "n_tokens": [sum(map(len, raw)) // 4]}
+            row = {"part": [part], "shard": [shard], "folder": [folder], "name": [name], "n_docs": [len(raw)], "n_tokens": [held // 4]}
             return pa.RecordBatch.from_pydict(row, schema=SHARDS)
 
-        doc_ids, raw, at = [], [], None
         for cols in rows_of(batches):
-            for shard, doc_id, ids in zip(cols["shard"], cols["doc_id"], cols["ids"], strict=True):
-                if shard != at and raw:
-                    yield flush(at)
-                    doc_ids, raw = [], []
-                at = shard
+            for doc_id, ids in zip(cols["doc_id"], cols["ids"], strict=True):
+                if raw and held + len(ids) > 4 * chars_per_shard:
+                    yield flush()
+                    doc_ids, raw, held, shard = [], [], 0, shard + 1
                 doc_ids.append(doc_id)
                 raw.append(ids)
+                held += len(ids)
         if raw:
-            yield flush(at)
+            yield flush()
 
-    coded = rows.mapInArrow(code, "shard int, doc_id long, ids binary")
-    placed = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
+    coded = materialise(rows.mapInArrow(code, "doc_id long, ids binary"))
+    placed = coded.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "ids")
     return materialise(placed.mapInArrow(save, MANIFEST))
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """Per document, from the shard files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     starts = manifest.withColumn(  # one row per shard
-        "first", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "first", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -267,5 +265,5 @@ def read(manifest: DataFrame) -> DataFrame:
                 }, schema=out)
             shard.close()
 
-    spread = starts.repartition(max(2, manifest.sparkSession.sparkContext.defaultParallelism), "shard")
+    spread = starts.repartition(max(2, manifest.sparkSession.sparkContext.defaultParallelism), "part", "shard")
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
