@@ -28,11 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.functions.lineage import materialise
-from cellframe.llm.common import SHINGLE, WordHashes, rows_of, runs_of, shingle_set
+from cellframe.llm.common import SHINGLE, WordHashes, bloom, passing, rows_of, runs_of, shingle_set
 
 BINS = 64
 WHOLE = 24
-BLOOM_BITS = 1 << 24
 CONTAINMENT = 0.75
 _WORD = re.compile(r"\w+")
 _hashes = WordHashes()
@@ -52,43 +51,14 @@ def band_of(n: int) -> int:
 
 
 def minima(shingles: np.ndarray, band: int) -> np.ndarray:
-    """Keys of the bins' minima, for each segment of the band's size."""
+    """Keys of the bins' minima, for each segment of the band's size; they may repeat."""
     tag = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     if band == 0 or len(shingles) == 0:
-        return np.unique(shingles) ^ tag
+        return shingles ^ tag
     segment = np.arange(len(shingles)) // (WHOLE << band)
     least = np.full((int(segment[-1]) + 1) * BINS, np.iinfo(np.uint64).max)
     np.minimum.at(least, segment * BINS + (shingles & np.uint64(BINS - 1)).astype(np.int64), shingles)
-    return np.unique(least[least != np.iinfo(np.uint64).max]) ^ tag
-
-
-def positions(values: np.ndarray) -> list[np.ndarray]:
-    """Places of a value in a Bloom filter."""
-    m = np.uint64(BLOOM_BITS - 1)
-    return [(values >> np.uint64(s)) & m for s in (0, 20, 40)]
-
-
-def bloom(values: DataFrame, column: str) -> np.ndarray:
-    """Bits of a Bloom filter of fixed size over 64-bit values, built by a distributed aggregate.
-
-    The bitmap functions count positions from 1.
-    """
-    places = F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(BLOOM_BITS - 1) + 1 for s in (0, 20, 40)])
-    bits = values.select(F.explode(places).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-    rows = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()  # BLOOM_BITS / 32768 rows at most
-    out = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for r in rows:
-        raw = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-        at = (r.bucket - 1) * 4096
-        out[at : at + len(raw)] = raw
-    return out
-
-
-def passing(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(values), dtype=bool)
-    for p in positions(values):
-        ok &= bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0
-    return values[ok]
+    return least[least != np.iinfo(np.uint64).max] ^ tag
 
 
 def signed(values: np.ndarray) -> list[int]:
@@ -132,7 +102,7 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, i
                 if len(keys):
                     out["doc_id"].append(doc_id)
                     out["keys"].append(signed(np.unique(keys)))
-                    out["shingles"].append(signed(passing(np.unique(s), shingle_bits)))
+                    out["shingles"].append(signed(np.unique(passing(s, shingle_bits))))
             if out["doc_id"]:
                 yield pa.RecordBatch.from_pydict(out, schema=found)
 
