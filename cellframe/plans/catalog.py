@@ -708,9 +708,7 @@ def _(spark, sf):
 
 # --- training (rows-only) ----------------------------------------------------
 
-# Forest sizes for the registered runs; the library defaults are the experiment's own sizes.
-TRAINED = [1, 60]  # windows of the registered runs
-SMALL = train.ModelSize(rf_trees=20, rf_depth=6, gbt_rounds=5, mlp_layers=(16, 8), mlp_rounds=30)
+MODELS = ["RF", "GBT", "MLP"]
 
 
 def _train_table(spark, sf) -> DataFrame:
@@ -720,24 +718,19 @@ def _train_table(spark, sf) -> DataFrame:
 
 @query("M07_M08_M09_M10_experiment_metrics")
 def _(spark, sf):
-    _, m = train.run_experiment(_train_table(spark, sf), TRAINED, ["RF", "GBT", "MLP"], [42], size=SMALL)
+    _, m = train.run_experiment(_train_table(spark, sf), WINDOWS, MODELS)
     return m
 
 
 @query("M10_predictions")
 def _(spark, sf):
-    p, _ = train.run_experiment(_train_table(spark, sf), TRAINED, ["RF"], [42, 43], size=SMALL)
+    p, _ = train.run_experiment(_train_table(spark, sf), WINDOWS, MODELS)
     return p
 
 
 @query("M14_L02_feature_importance")
 def _(spark, sf):
-    t = _train_table(spark, sf)
-    cols = [c for c in t.columns if c.startswith("early")]
-    s = model_data.group_split(t)
-    tr, te = train.prepare(model_data.split_rows(t, s, False), model_data.split_rows(t, s, True), cols)
-    model, _ = train.fit_predict("RF", tr, te, cols, 42, SMALL)
-    return train.importances(model, cols, spark)
+    return train.experiment_importances(_train_table(spark, sf), WINDOWS)
 
 
 @query("M16_P28_F13_feature_set_grid")
@@ -746,8 +739,8 @@ def _(spark, sf):
     cols = [c for c in t.columns if c.startswith("early") or c == "base_spec"]
     binary = {r["feature"] for r in features.binary_columns(t, cols).where("is_binary").collect()}
     sets = features.feature_sets(cols, binary)
-    chosen, _ = features.select_feature_sets("full,early:1-2", list(sets))
-    return train.feature_set_grid(t, {n: sets[n] for n in chosen}, ["RF"], SMALL)
+    chosen, _ = features.select_feature_sets("all", list(sets))
+    return train.feature_set_grid(t, {n: sets[n] for n in chosen}, MODELS)
 
 
 @query("M17_synthetic_rows")
@@ -758,13 +751,9 @@ def _(spark, sf):
 
 @query("M19_augmentation_sweep")
 def _(spark, sf):
-    t = _train_table(spark, sf)
-    return train.sweep_augmentation(t, [c for c in t.columns if c.startswith("early")], trials=2, size=SMALL)
+    return train.experiment_sweeps(_train_table(spark, sf), WINDOWS, MODELS)
 
 
 @query("M20_augmented_comparison")
 def _(spark, sf):
-    t = _train_table(spark, sf)
-    cols = [c for c in t.columns if c.startswith("early")]
-    s = model_data.group_split(t)
-    return train.compare_augmented(model_data.split_rows(t, s, False), model_data.split_rows(t, s, True), cols, size=SMALL)
+    return train.augmented_experiment(_train_table(spark, sf), WINDOWS, MODELS)
