@@ -3,8 +3,13 @@
 Every occurrence of a common word (an anchor) gives a signature: the anchor and
 the chain of content words that follow it, common words skipped.  A text's
 beginning counts as an anchor.  The fingerprint is the sorted set of 24-bit
-signature hashes.  Two fingerprints are compared by Jaccard similarity; pairs
-whose set lengths or remaining signatures rule a threshold out are pruned.
+signature hashes.  Two fingerprints are compared by Jaccard similarity.
+
+``similar`` finds all pairs of a corpus over a threshold.  Sets are partitioned
+by length, so that a pair lies in one partition or in two neighbouring ones.
+Each set is indexed by its rarest signatures only, as many as no similar pair
+can miss.  Pairs whose lengths or remaining signatures rule the threshold out
+are pruned, the others are verified exactly.
 """
 
 from __future__ import annotations
@@ -18,10 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.functions.lineage import materialise
+from cellframe.functions.skew import salted_lookup
 from cellframe.llm.common import WordHashes, mixed, rows_of
 
 # Common words of English, German, French and Spanish.
@@ -33,6 +39,8 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 CHARS_PER_TASK = 8_000_000
+LEAST_PERCENT = 75
+LONGEST = 1 << 24  # signatures of 24 bits in a set
 _WORD = re.compile(r"\w+")
 _hashes = WordHashes()
 _anchors = np.sort(WordHashes().of(ANCHORS))
@@ -157,3 +165,79 @@ def against_next(docs: DataFrame, chars_per_task: int = CHARS_PER_TASK) -> DataF
             )
 
     return inner.unionByName(edges.mapInArrow(finish, FIELDS))
+
+
+def partitions_of_lengths(percent: int) -> np.ndarray:
+    """Least length of each partition; sets that agree to ``percent`` lie in one partition or in neighbouring ones.
+
+    The next partition starts behind the longest set that can agree with a set of this one's least length.
+    """
+    starts = [1]
+    while starts[-1] <= LONGEST:
+        starts.append(100 * starts[-1] // percent + 1)
+    return np.array(starts, dtype=np.int64)
+
+
+def indexed_length(n: Column, percent: int) -> Column:
+    """How many of a set's rarest signatures are indexed: two sets that agree to ``percent`` share one of theirs."""
+    return n - F.ceil(n * percent / F.lit(100)) + 1
+
+
+def signature_sets(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, row, set_id, part, n, sigs) of every distinct row; equal sets have equal ids, empty ones no part."""
+    starts = partitions_of_lengths(percent)
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in rows_of(batches):
+            sets = [signatures(t) for t in cols["text"]]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(cols["doc_id"], pa.int64()), "row": pa.array(cols["row"], pa.int64()),
+                "set_id": [hashlib.sha256(s.tobytes()).hexdigest() for s in sets], "n": pa.array([len(s) for s in sets], pa.int32()),
+                "part": pa.array([int(np.searchsorted(starts, len(s), side="right")) - 1 for s in sets], pa.int32()),
+                "sigs": pa.array([s.astype(np.int32) for s in sets], pa.list_(pa.int32())),
+            })
+
+    return rows.mapInArrow(run, "doc_id long, row long, set_id string, n int, part int, sigs array<int>").dropDuplicates(["doc_id", "row"])
+
+
+def similar(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """All near-duplicates (doc_id, text) of a corpus: doc_id_a, row_a, doc_id_b, row_b, likeness of at least ``percent`` / 100.
+
+    ``row`` hashes doc_id and text; rows equal in both count once.  Documents
+    with equal sets are compared as one: each of them is paired with the first
+    of its set (smallest doc_id, null first, then row), and every two similar
+    sets are paired by their firsts, so exact copies give no more rows than there
+    are copies.  Two empty sets are equal.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must lie in 1..100, not {percent}")
+    rows = materialise(signature_sets(docs, percent))
+    sets = materialise(rows.groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first("part").alias("part"), F.first("sigs").alias("sigs")))
+    copies = salted_lookup(rows.select("set_id", "doc_id", "row"), sets.select("set_id", "first"), ["set_id"], ["row"])
+    copies = copies.where(~F.struct("doc_id", "row").eqNullSafe(F.col("first"))).select(
+        F.col("first.doc_id").alias("doc_id_a"), F.col("first.row").alias("row_a"), F.col("doc_id").alias("doc_id_b"), F.col("row").alias("row_b"), F.lit(1.0).alias("likeness"),
+    )
+    spread = sets.where("n > 0").select("set_id", "part", "n", F.explode("sigs").alias("sig"))
+    shared = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    held = salted_lookup(spread, shared, ["sig"], ["set_id"]).withColumn("held", F.coalesce("held", F.lit(1)))
+    ranked = held.groupBy("set_id", "part", "n").agg(F.sort_array(F.collect_list(F.struct("held", "sig"))).alias("sorted"))
+    kept = ranked.select("set_id", "part", "n", F.posexplode(F.slice("sorted", F.lit(1), indexed_length(F.col("n"), percent).cast("int"))).alias("place", "s"))
+    index = materialise(kept.where("s.held > 1").select("set_id", "part", "n", "place", F.col("s.sig").alias("sig")))
+    a = index.select(*[F.col(c).alias(f"{c}_a") for c in ("set_id", "part", "n", "place")], "sig")
+    a = a.withColumn("part", F.explode(F.array(F.col("part_a"), F.col("part_a") + 1)))
+    b = index.select(*[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "place")], "part", "sig")
+    met = a.join(b, ["part", "sig"]).where((F.col("part_a") < F.col("part")) | (F.col("set_id_a") < F.col("set_id_b")))
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # this one and what may follow it in both
+    met = met.where((100 * small >= percent * large) & (100 * rest >= percent * (F.col("n_a") + F.col("n_b") - rest)))
+    pairs = met.select("set_id_a", "set_id_b").distinct()
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("set_id").alias(f"set_id_{side}"), F.col("first").alias(f"first_{side}"), F.col("sigs").alias(f"sigs_{side}")), f"set_id_{side}")
+    both = F.size(F.array_intersect("sigs_a", "sigs_b"))
+    either = F.size("sigs_a") + F.size("sigs_b") - both
+    found = pairs.withColumn("both", both).withColumn("either", either).where(100 * F.col("both") >= percent * F.col("either"))
+    low, high = F.least("first_a", "first_b"), F.greatest("first_a", "first_b")
+    found = found.select(low["doc_id"].alias("doc_id_a"), low["row"].alias("row_a"), high["doc_id"].alias("doc_id_b"), high["row"].alias("row_b"), (F.col("both") / F.col("either")).alias("likeness"))
+    return copies.unionByName(found)

@@ -398,3 +398,41 @@ def test_fingerprints_against_the_next_document(docs, empty):
     assert (spot_signatures.from_fingerprint(spot_signatures.fingerprint(a)) == a).all()
     assert spot_signatures.likeness(a, a[: len(a) // 3], least=0.5) == 0.0 and spot_signatures.likeness(a, a) == 1.0
     assert spot_signatures.with_fingerprint(docs).count() == docs.count()
+
+
+@pytest.mark.parametrize("percent", [40, 75, 100])
+def test_similar_pairs_equal_brute_force(spark, docs, empty, percent):
+    """Pairs far apart by doc_id, in one length partition or in two, copies, null ids and empty texts."""
+    rnd, rows = random.Random(8), []
+    for k in range(8):
+        base = prose(700 + k, rnd.choice([12, 40, 90, 200])).split()
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rnd.randint(0, max(1, len(w) // 12))):
+                w[rnd.randrange(len(w))] = rnd.choice(VOCABULARY)
+            rows.append((rnd.randrange(10**6), " ".join(w[: len(w) - rnd.randint(0, len(w) // 5)])))
+    mixed = spark.createDataFrame([*rows, (None, rows[0][1]), (None, ""), (3, None), rows[5]], "doc_id long, text string")
+    for t in (docs, mixed):
+        own = sorted(set(local(t)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        sets = [frozenset(spot_signatures.signatures(x).tolist()) for _, x in own]
+        got = sorted((-1 if r.doc_id_a is None else r.doc_id_a, -1 if r.doc_id_b is None else r.doc_id_b, r.likeness) for r in spot_signatures.similar(t, percent).collect())
+        number = lambda i: -1 if own[i][0] is None else own[i][0]
+        firsts = {}
+        for i, s in enumerate(sets):
+            firsts.setdefault(s, i)
+        want = [(number(firsts[s]), number(i), 1.0) for i, s in enumerate(sets) if firsts[s] != i]
+        for i in firsts.values():
+            for j in firsts.values():
+                both = len(sets[i] & sets[j])
+                if i < j and both and 100 * both >= percent * len(sets[i] | sets[j]):
+                    want.append((number(i), number(j), both / len(sets[i] | sets[j])))
+        ids = lambda pairs: [(*sorted(p[:2]), p[2]) for p in pairs]
+        assert want and sorted(ids(got)) == sorted(ids(want))
+    assert spot_signatures.similar(empty, percent).count() == 0
+
+
+def test_length_partitions_hold_every_similar_pair():
+    for percent in (1, 50, 75, 99, 100):
+        starts = spot_signatures.partitions_of_lengths(percent)
+        part = lambda n: int(np.searchsorted(starts, n, side="right")) - 1
+        assert all(part(100 * n // percent) - part(n) in (0, 1) for n in [*range(1, 400), 9999])
