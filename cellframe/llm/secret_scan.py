@@ -6,8 +6,11 @@ tokens.  Each token's encoding is inferred from its letters.  Three statistics
 are compared with what words, numbers and identifiers of that encoding show:
 
 * chi-squared distance of the letters from a uniform alphabet,
-* runs: changes between digits, capitals and small letters, separators aside,
-* serial correlation of neighbouring letters' places in the alphabet.
+* runs: changes between digits, capitals and small letters, separators aside; in
+  a token of one of these classes, changes between vowels and consonants, which
+  words alternate, or between the lower and the upper half of the digits,
+* serial correlation of neighbouring letters' places in the alphabet; in a token
+  of one class of letters, where words show none, the share of rare letters.
 
 Each gives a p-value against structured text, small for random tokens.  They are
 combined by Fisher's method and weighted by length, and the Benjamini-Hochberg
@@ -31,7 +34,7 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 FALSE_DISCOVERIES = 0.01
 CELLS = 64  # of the p-value histogram, per unit of -ln p
 MOST_CELL = 45 * CELLS
@@ -47,6 +50,10 @@ ENCODINGS = [  # name, form, alphabet
 TEXT_REPEAT = 0.065  # chance that two letters of a text agree
 TEXT_CHANGES = 0.15  # changes of letter class per letter in words and identifiers
 TEXT_SERIAL = 0.5
+VOWELS, RARE = "aeiouyAEIOUY", "bjkpqvwxyzBJKPQVWXYZ"
+WORD_CHANGES = 0.6  # changes between vowels and consonants per letter of a word
+NUMBER_CHANGES = 0.25  # changes between the halves of the digits in dates, counters and padded numbers
+TEXT_RARE = 0.12  # share of the rare letters in words
 PLAIN = 0.5  # a token that one test finds this likely to be structured is not random, whatever the others say
 
 
@@ -113,12 +120,24 @@ def battery(tokens: DataFrame) -> DataFrame:
     next_of = lambda a: F.slice(a, 2, F.size(a))
     changes = F.aggregate(F.zip_with(F.slice("sorts", 1, F.size("sorts") - 1), next_of("sorts"), lambda a, b: ((a != b) & (a < 3) & (b < 3)).cast("double")), F.lit(0.0), lambda a, x: a + x)
     runs = normal_below(-(changes - 0.5 - n1 * TEXT_CHANGES) / F.sqrt(n1 * TEXT_CHANGES * (1 - TEXT_CHANGES)))
+    # Tokens of one class, separators aside: m letters, neighbours among them.
+    bare = F.regexp_replace("plain", "[^0-9A-Za-z]", "")
+    m = F.greatest(F.length(bare).cast("double"), F.lit(2.0))
+    words, numbers = bare.rlike("^([a-z]+|[A-Z]+)$"), bare.rlike("^[0-9]+$")
+    turns = lambda letters: (  # noqa: E731  changes between these letters and others
+        F.length(F.regexp_replace(bare, f"(?<=[{letters}])(?=[^{letters}])|(?<=[^{letters}])(?=[{letters}])", " ")) - F.length(bare)
+    ).cast("double")
+    spelt = normal_below((turns(VOWELS) + 0.5 - (m - 1) * WORD_CHANGES) / F.sqrt((m - 1) * WORD_CHANGES * (1 - WORD_CHANGES)))
+    counted = normal_below(-(turns("0-4") - 0.5 - (m - 1) * NUMBER_CHANGES) / F.sqrt((m - 1) * NUMBER_CHANGES * (1 - NUMBER_CHANGES)))
+    runs = F.when(words, spelt).when(numbers, counted).otherwise(runs)
+    rare = normal_below(-(F.length(F.regexp_replace(bare, f"[^{RARE}]", "")) - 0.5 - m * TEXT_RARE) / F.sqrt(m * TEXT_RARE * (1 - TEXT_RARE)))
     mean = F.aggregate("places", F.lit(0.0), lambda a, x: a + x) / F.col("n")
     t = t.withColumn("off", F.transform(F.arrays_zip(F.col("places"), F.array_repeat(mean, F.size("places")).alias("mean")), lambda x: x["places"] - x["mean"]))
     spread = F.aggregate("off", F.lit(0.0), lambda a, x: a + x * x)
     along = F.aggregate(F.zip_with(F.slice("off", 1, F.size("off") - 1), next_of("off"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     r = F.when(spread > 0, F.least(F.abs(along / spread), F.lit(0.999))).otherwise(F.lit(0.999))
     serial = normal_below((F.atanh(r) - F.atanh(F.lit(TEXT_SERIAL))) * F.sqrt(F.col("n") - 3))
+    serial = F.when(words, rare).otherwise(serial)
     least = F.lit(1e-12)
     evidence = -(F.log(F.greatest(uniform, least)) + F.log(F.greatest(runs, least)) + F.log(F.greatest(serial, least)))
     t = t.withColumn("evidence", F.when(F.greatest(uniform, runs, serial) > PLAIN, F.lit(0.0)).otherwise(evidence))
