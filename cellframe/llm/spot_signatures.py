@@ -2,7 +2,9 @@
 
 Every occurrence of a common word (an anchor) gives a signature: the anchor and
 the chain of content words that follow it, common words skipped.  A text's
-beginning counts as an anchor.  The fingerprint is the sorted set of 24-bit
+beginning counts as an anchor.  Where fewer than one word in ``FEW`` is common
+(tables, lists, other languages), every word is an anchor, so that the whole
+text counts.  The fingerprint is the sorted set of 24-bit
 signature hashes.  Two fingerprints are compared by Jaccard similarity.
 
 ``similar`` finds all pairs of a corpus over a threshold.  Sets are partitioned
@@ -38,6 +40,7 @@ ANCHORS = (
     "con del el en la las los por su y"
 ).split()
 CHAIN = 2
+FEW = 16
 CHARS_PER_TASK = 8_000_000
 LEAST_PERCENT = 75
 LONGEST = 1 << 24  # signatures of 24 bits in a set
@@ -54,7 +57,8 @@ def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
     at = np.searchsorted(_anchors, h)
     common = _anchors[np.minimum(at, len(_anchors) - 1)] == h
     content = np.flatnonzero(~common)
-    spots = np.concatenate([[-1], np.flatnonzero(common)])
+    few = FEW * np.count_nonzero(common) < len(h)
+    spots = np.concatenate([[-1], np.arange(len(h)) if few else np.flatnonzero(common)])
     first = np.searchsorted(content, spots, side="right")
     words = np.concatenate([h[content], np.zeros(chain, dtype=np.uint64)])  # a chain may end with the text
     out = np.concatenate([np.zeros(1, dtype=np.uint64), h[spots[1:]]])

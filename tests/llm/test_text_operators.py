@@ -413,6 +413,17 @@ def test_fingerprints_against_the_next_document(docs, empty):
     assert spot_signatures.with_fingerprint(docs).count() == docs.count()
 
 
+def test_texts_with_few_common_words_count_whole():
+    rows = [f"item{i} shelf{i * 7 % 100}" for i in range(200)]
+    a = spot_signatures.signatures("catalogue 1995 " + " ".join(rows[:100]))
+    b = spot_signatures.signatures("catalogue 1995 " + " ".join(rows[100:]))
+    c = spot_signatures.signatures("register 2001 " + " ".join(rows[:100]))
+    assert spot_signatures.likeness(a, b) < 0.1 and spot_signatures.likeness(a, c) > 0.9
+    assert len(a) > 150
+    usual = spot_signatures.signatures("the stone of a river is quiet " * 9 + "and grey")
+    assert len(usual) == 7  # the beginning, the, of, a, is, the last is, and; no further anchors
+
+
 @pytest.mark.parametrize("percent", [40, 75, 100])
 def test_similar_pairs_equal_brute_force(spark, docs, empty, percent):
     """Pairs far apart by doc_id, in one length partition or in two, copies, null ids and empty texts."""
