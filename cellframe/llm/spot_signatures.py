@@ -4,8 +4,8 @@ Every occurrence of a common word (an anchor) gives a signature: the anchor and
 the chain of content words that follow it, common words skipped.  A text's
 beginning counts as an anchor.  Where fewer than one word in ``FEW`` is common
 (tables, lists, other languages), every word is an anchor, so that the whole
-text counts.  The fingerprint is the sorted set of 24-bit
-signature hashes.  Two fingerprints are compared by Jaccard similarity.
+text counts.  The fingerprint is the sorted set of 32-bit
+signature hashes, its gaps Rice-coded.  Two fingerprints are compared by Jaccard similarity.
 
 ``similar`` finds all pairs of a corpus over a threshold.  Sets are partitioned
 by length, so that a pair lies in one partition or in two neighbouring ones.
@@ -43,7 +43,7 @@ CHAIN = 2
 FEW = 16
 CHARS_PER_TASK = 8_000_000
 LEAST_PERCENT = 75
-LONGEST = 1 << 24  # signatures of 24 bits in a set
+LONGEST = 1 << 32  # signatures of 32 bits in a set
 _WORD = re.compile(r"\w+")
 _hashes = WordHashes()
 _anchors = np.sort(WordHashes().of(ANCHORS))
@@ -64,16 +64,38 @@ def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
     out = np.concatenate([np.zeros(1, dtype=np.uint64), h[spots[1:]]])
     for k in range(chain):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[np.minimum(first + k, len(words) - 1)])
-    return np.unique((out >> np.uint64(40)).astype(np.uint32))
+    return np.unique((out >> np.uint64(32)).astype(np.uint32))
+
+
+def _rest_bits(n: int) -> int:
+    """Bits of a gap that are written as they are: those of the mean gap of ``n`` signatures."""
+    return (LONGEST // n).bit_length() - 1
 
 
 def fingerprint(sigs: np.ndarray) -> str:
-    return base64.b64encode(sigs.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()).decode()
+    """The count in four bytes, the gaps' upper parts in unary, their lower parts in bits; as base64.  No signatures, an empty one."""
+    n = len(sigs)
+    if n == 0:
+        return ""
+    k = _rest_bits(n)
+    gaps = np.diff(sigs.astype(np.int64), prepend=-1) - 1
+    ones = np.cumsum(gaps >> k) + np.arange(n)
+    unary = np.zeros(int(ones[-1]) + 1, dtype=np.uint8)
+    unary[ones] = 1
+    rest = (gaps[:, None] >> np.arange(k - 1, -1, -1) & 1).astype(np.uint8)
+    return base64.b64encode(n.to_bytes(4, "big") + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()).decode()
 
 
 def from_fingerprint(value: str) -> np.ndarray:
-    b = np.frombuffer(base64.b64decode(value), dtype=np.uint8).reshape(-1, 3).astype(np.uint32)
-    return b[:, 0] << 16 | b[:, 1] << 8 | b[:, 2]
+    raw = base64.b64decode(value)
+    if not raw:
+        return np.zeros(0, dtype=np.uint32)
+    n = int.from_bytes(raw[:4], "big")
+    k, body = _rest_bits(n), np.frombuffer(raw, dtype=np.uint8, offset=4)
+    ones = np.flatnonzero(np.unpackbits(body))[:n]
+    rest = np.unpackbits(body[int(ones[-1]) // 8 + 1 :], count=n * k).reshape(n, k).astype(np.int64)
+    gaps = np.diff(ones, prepend=-1) - 1 << k | rest @ (1 << np.arange(k - 1, -1, -1, dtype=np.int64))
+    return (np.cumsum(gaps + 1) - 1).astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -174,11 +196,12 @@ def against_next(docs: DataFrame, chars_per_task: int = CHARS_PER_TASK) -> DataF
 def partitions_of_lengths(percent: int) -> np.ndarray:
     """Least length of each partition; sets that agree to ``percent`` lie in one partition or in neighbouring ones.
 
-    The next partition starts behind the longest set that can agree with a set of this one's least length.
+    The next partition starts behind the longest set that can agree with a set of this one's least length, and at least
+    1/64 further on, so that a high ``percent`` gives few partitions too.
     """
     starts = [1]
     while starts[-1] <= LONGEST:
-        starts.append(100 * starts[-1] // percent + 1)
+        starts.append(max(100 * starts[-1] // percent, starts[-1] + starts[-1] // 64) + 1)
     return np.array(starts, dtype=np.int64)
 
 

@@ -413,6 +413,17 @@ def test_fingerprints_against_the_next_document(docs, empty):
     assert spot_signatures.with_fingerprint(docs).count() == docs.count()
 
 
+def test_fingerprints_keep_32_bits():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 32, n, dtype=np.uint64) for n in (0, 1, 2, 3, 100, 5000, 200_000)] + [np.array([0]), np.array([(1 << 32) - 1]), np.arange(300), (1 << 32) - 1 - np.arange(70)]
+    for s in sets:
+        s = np.unique(s.astype(np.uint32))
+        back = spot_signatures.from_fingerprint(spot_signatures.fingerprint(s))
+        assert back.dtype == np.uint32 and (back == s).all() and len(back) == len(s)
+    assert len(spot_signatures.fingerprint(np.unique(sets[5].astype(np.uint32)))) < 0.9 * 5000 * 4
+    assert spot_signatures.signatures(prose(1, 200)).max() >= 1 << 24
+
+
 def test_texts_with_few_common_words_count_whole():
     rows = [f"item{i} shelf{i * 7 % 100}" for i in range(200)]
     a = spot_signatures.signatures("catalogue 1995 " + " ".join(rows[:100]))
