@@ -197,8 +197,16 @@ def prefixes(grid_rows: DataFrame, windows: list[int] = WINDOWS) -> DataFrame:
     return grid_rows.withColumn("w", F.explode(inside))
 
 
-def series_issues(master: DataFrame, known_files: DataFrame, valid: DataFrame, aligned: DataFrame, full: DataFrame | None) -> DataFrame:
-    """why a master cycle has no series; the first failing stage names the reason."""
+def series_issues(
+    master: DataFrame, known_files: DataFrame, valid: DataFrame, aligned: DataFrame, full: DataFrame | None,
+    unreadable: DataFrame | None = None, failed: DataFrame | None = None,
+) -> DataFrame:
+    """why a master cycle has no series; the first failing stage names the reason.
+
+    ``unreadable`` (file, error) holds files that could not be read, ``failed``
+    (file, Cycle, error) cycles whose computation broke off; the error follows
+    the reason.
+    """
     m = master.select("file", "Cycle", file_stem(F.col("file")).alias("file_key"))
     files = known_files.select(file_stem(F.col("file")).alias("file_key")).distinct().withColumn("_file", F.lit(True))
     j = salted_lookup(m, files, ["file_key"], ["Cycle"])
@@ -207,8 +215,18 @@ def series_issues(master: DataFrame, known_files: DataFrame, valid: DataFrame, a
             j = j.withColumn(name, F.lit(True))
         else:
             j = j.join(stage.groupBy(*CYCLE).agg(F.lit(True).alias(name)), CYCLE, "left")
+    said = F.min(F.coalesce(F.col("error"), F.lit("")))
+    if unreadable is not None:
+        broken = unreadable.groupBy(file_stem(F.col("file")).alias("file_key")).agg(said.alias("_read_error"))
+        j = salted_lookup(j, broken, ["file_key"], ["Cycle"])
+    if failed is not None:
+        j = j.join(failed.groupBy(*CYCLE).agg(said.alias("_cycle_error")), CYCLE, "left")
+    read_error = F.lit(None) if unreadable is None else F.col("_read_error")
+    cycle_error = F.lit(None) if failed is None else F.col("_cycle_error")
     reason = (
         F.when(F.col("_file").isNull(), F.lit("raw_excel_not_found"))
+        .when(read_error.isNotNull(), F.concat(F.lit("file_read_error:"), read_error))
+        .when(cycle_error.isNotNull(), F.concat(F.lit("cycle_error:"), cycle_error))
         .when(F.col("_valid").isNull(), F.lit("invalid_step_structure"))
         .when(F.col("_aligned").isNull(), F.lit("empty_aligned_cycle"))
         .when(F.col("_full").isNull(), F.lit("missing_values_in_full_window"))
