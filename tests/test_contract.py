@@ -2,6 +2,9 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -23,6 +26,18 @@ def test_every_sql_has_a_query():
     }
 
 
+def test_telemetry_stands_without_the_text_operators(tmp_path):
+    """A copy without the two folders still imports, with every other query and its SQL."""
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", "*.json"))
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()), sep='\\n'); print('|'); print(*sorted(e.oracle_sql()), sep='\\n')"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120, check=True)
+    found, sql = (part.split() for part in done.stdout.split("|"))
+    text = lambda n: n == "pipeline" or n.startswith("op")
+    assert found == sorted(n for n in entry.queries() if not text(n))
+    assert sql == sorted(n for n in entry.oracle_sql() if not text(n))
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
