@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.llm import (
-    bpe_automaton, capture_index, decontaminate, ngram_join, secret_scan, seed_extend, shards, spot_signatures, token_codes, toxicity,
+    bpe_automaton, capture_index, decontaminate, line_dedup, merkle_manifest, ngram_join, secret_scan, seed_extend, shards, spot_signatures, token_codes,
+    toxicity, whitening,
 )
 
 #: Folder of the public tokenizers' files.
@@ -66,10 +67,25 @@ def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.against_next(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"), least_documents=10, least_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle_manifest.proofs(docs, {"n_chars": tampered})
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_codes, op2_secret_scan, op3_decontamination, op4_ngram_join, op5_bpe_automaton, op6_toxicity, op7_shards, op8_capture_index,
-        op9_seed_extend, op10_spot_signatures,
+        op9_seed_extend, op10_spot_signatures, op11_line_dedup, op12_merkle_manifest, op13_whitening,
     )
 }

