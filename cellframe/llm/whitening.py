@@ -54,9 +54,7 @@ def _grid(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.Record
             if not there[i] or len(c) == 0 or not np.isfinite(c).all():
                 continue
             x = np.clip(np.floor(c * scale), -(2.0**63), np.nextafter(2.0**63, 0)).astype(np.int64)
-            most = int(max(x.max(), -(x.min() + 1)))
-            width = next(w for w in _WIDTHS if most <= np.iinfo(w).max)
-            body = x.astype(width).tobytes()
+            body = _packed(x)
             ids.append(vec_id)
             dims.append(len(x))
             hashes.append(xxhash.xxh3_128_digest(body, seed=len(x)))
@@ -66,8 +64,14 @@ def _grid(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.Record
         })
 
 
-def _unpacked(bodies: list[bytes], dim: int) -> np.ndarray:
-    return np.stack([np.frombuffer(b, dtype=_WIDTHS[(len(b) // dim).bit_length() - 1]).astype(np.int64) for b in bodies])
+def _packed(x: np.ndarray) -> bytes:
+    """Integers, row by row, in the narrowest width that holds them all."""
+    most = int(max(x.max(), -(x.min() + 1)))
+    return x.astype(next(w for w in _WIDTHS if most <= np.iinfo(w).max)).tobytes()
+
+
+def _unpacked(body: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(body, dtype=_WIDTHS[(len(body) // count).bit_length() - 1]).astype(np.int64)
 
 
 def _exact_sum(x: np.ndarray, axis: int) -> list[int]:
@@ -81,11 +85,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[
     held: list[tuple] = []
 
     def block(members: list[tuple]) -> pa.RecordBatch:
-        x = _unpacked([m[2] for m in members], dim)
+        x = np.stack([_unpacked(m[2], dim) for m in members])
         sums = [str(s) for s in _exact_sum(x, 0)]
         return pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "hashes": pa.array([[m[0] for m in members]], pa.list_(pa.binary())),
-            "copies": pa.array([[m[1] for m in members]], pa.list_(pa.int64())), "x": pa.array([x.T.tolist()], pa.list_(pa.list_(pa.int64()))),
+            "copies": pa.array([[m[1] for m in members]], pa.list_(pa.int64())), "x": pa.array([_packed(x.T)], pa.binary()),
             "sums": pa.array([sums], pa.list_(pa.string())),
         })
 
@@ -98,7 +102,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[
         yield block(held)
 
 
-_BLOCK = "part int, seq int, hashes array<binary>, copies array<long>, x array<array<long>>, sums array<string>"
+_BLOCK = "part int, seq int, hashes array<binary>, copies array<long>, x binary, sums array<string>"
 
 
 @dataclass
@@ -137,7 +141,7 @@ def _matrices(blocks: DataFrame, rows: int, dim: int, n: int, sums: list[int]) -
     def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = np.array(batch.column(1)[i].as_py(), dtype=np.int64).T
+                x = _unpacked(batch.column(1)[i].as_py(), dim * batch.column(2)[i].as_py()).reshape(dim, -1).T
                 whole = np.zeros((rows, dim))
                 whole[: len(x)] = _centred(x, n, sums)[0]
                 matrix = {"type": 1, "numRows": rows, "numCols": dim, "colPtrs": None, "rowIndices": None, "values": whole.T.ravel(), "isTransposed": False}
@@ -147,7 +151,7 @@ def _matrices(blocks: DataFrame, rows: int, dim: int, n: int, sums: list[int]) -
 
     plain = T.StructType([T.StructField("block", T.LongType()), T.StructField("subMatrix", T.StructType([fields[k] for k in fields]))])
     path = stage_path(blocks.sparkSession)
-    blocks.select("block", "x").mapInArrow(centred, plain).write.option("compression", "zstd").parquet(path)
+    blocks.select("block", "x", F.size("hashes").alias("rows")).mapInArrow(centred, plain).write.option("compression", "zstd").parquet(path)
     typed = T.StructType([T.StructField("block", T.LongType()), T.StructField("subMatrix", MatrixUDT())])
     return blocks.sparkSession.read.schema(typed).parquet(path)
 
@@ -197,13 +201,13 @@ def project(found: Fit, components: int) -> DataFrame:
     right = BlockMatrix(sc.parallelize([((0, 0), DenseMatrix(w.shape[0], w.shape[1], w.T.ravel().tolist()))], 1), found.dim, w.shape[1])
     product = found.matrix.multiply(right)
     white = product.blocks.map(lambda b: (int(b[0][0]), bytearray(np.ascontiguousarray(b[1].toArray()).tobytes()))).toDF("block long, white binary")
-    n, sums, k = found.n, found.sums, w.shape[1]
+    n, dim, sums, k = found.n, found.dim, found.sums, w.shape[1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 hashes, copies = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                x = np.array(batch.column(2)[i].as_py(), dtype=np.int64).T
+                x = _unpacked(batch.column(2)[i].as_py(), dim * len(hashes)).reshape(dim, -1).T
                 y = np.frombuffer(batch.column(3)[i].as_py(), dtype=np.float64).reshape(-1, k)[: len(hashes)]
                 yield pa.RecordBatch.from_pydict({
                     "hash": pa.array(hashes, pa.binary()), "copies": pa.array(copies, pa.int64()), "deviation": pa.array(_centred(x, n, sums)[1], pa.int64()),
