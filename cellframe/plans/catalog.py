@@ -709,6 +709,9 @@ def _(spark, sf):
 # --- training (rows-only) ----------------------------------------------------
 
 MODELS = ["RF", "GBT", "MLP"]
+SEEDS = [42, 43]
+#: Columns of the cycle master that no label rule reads, for the feature sets with a base.
+BASE = ["charge_t_h", "charge_V_start", "take_off_V_start", "take_off_V_end", "hover_V_end", "cruise_V_end", "landing_V_start", "standby_V_start", "standby_t_end_h"]
 
 
 def _train_table(spark, sf) -> DataFrame:
@@ -716,15 +719,36 @@ def _train_table(spark, sf) -> DataFrame:
     return materialise(model_table(spark, sf))
 
 
+def _base_table(spark, sf) -> DataFrame:
+    """The model table with the base columns of the cycle master."""
+    return _train_table(spark, sf).join(cycle_master(spark, sf).select(*KEYS, *BASE), KEYS)
+
+
+def _feature_sets(t: DataFrame) -> dict[str, list[str]]:
+    cols = [c for c in t.columns if c.startswith("early") or c in BASE]
+    binary = {r["feature"] for r in features.binary_columns(t, cols).where("is_binary").collect()}
+    return features.feature_sets(cols, binary)
+
+
+@query("M10_experiment_points")
+def _(spark, sf):
+    return train.experiment_points(model_table(spark, sf), WINDOWS, MODELS, SEEDS)
+
+
+@query("M19_trial_sizes")
+def _(spark, sf):
+    return train.trial_sizes(model_table(spark, sf), SEEDS, train.sweep_trials())
+
+
 @query("M07_M08_M09_M10_experiment_metrics")
 def _(spark, sf):
-    _, m = train.run_experiment(_train_table(spark, sf), WINDOWS, MODELS)
+    _, m = train.run_experiment(_train_table(spark, sf), WINDOWS, MODELS, SEEDS)
     return m
 
 
 @query("M10_predictions")
 def _(spark, sf):
-    p, _ = train.run_experiment(_train_table(spark, sf), WINDOWS, MODELS)
+    p, _ = train.run_experiment(_train_table(spark, sf), WINDOWS, MODELS, SEEDS)
     return p
 
 
@@ -735,10 +759,8 @@ def _(spark, sf):
 
 @query("M16_P28_F13_feature_set_grid")
 def _(spark, sf):
-    t = _train_table(spark, sf).withColumn("base_spec", F.col("early1_V_mean"))
-    cols = [c for c in t.columns if c.startswith("early") or c == "base_spec"]
-    binary = {r["feature"] for r in features.binary_columns(t, cols).where("is_binary").collect()}
-    sets = features.feature_sets(cols, binary)
+    t = materialise(_base_table(spark, sf))
+    sets = _feature_sets(t)
     chosen, _ = features.select_feature_sets("all", list(sets))
     return train.feature_set_grid(t, {n: sets[n] for n in chosen}, MODELS)
 
@@ -747,13 +769,3 @@ def _(spark, sf):
 def _(spark, sf):
     t = _cells(spark, sf).dropna(subset=PREP)
     return augment.synthesise(t, PREP, 2.0)
-
-
-@query("M19_augmentation_sweep")
-def _(spark, sf):
-    return train.experiment_sweeps(_train_table(spark, sf), WINDOWS, MODELS)
-
-
-@query("M20_augmented_comparison")
-def _(spark, sf):
-    return train.augmented_experiment(_train_table(spark, sf), WINDOWS, MODELS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from oracles.common import ESS, MISSING, NAMES, PHASES, PIVOT_COLS, SERIES, block, r6, sql
 
 STATEMENTS: dict[str, str] = {}
@@ -443,6 +445,31 @@ SELECT cycle_label_3name, n_class, {r6("CAST(sum(n_class) OVER () AS DOUBLE) / (
 add("M18_score_band", ["master"], f"""
 SELECT m.file, m."Cycle", m.cycle_label_3name, {r6('m."IR_proxy"', "IR_proxy")} FROM master m JOIN (SELECT cycle_label_3name, quantile_cont("IR_proxy", 0.1) AS lo, quantile_cont("IR_proxy", 0.9) AS hi FROM master WHERE "IR_proxy" IS NOT NULL GROUP BY 1) q
 ON m.cycle_label_3name = q.cycle_label_3name WHERE m."IR_proxy" BETWEEN q.lo AND q.hi""")
+# The experiment's grid: features per window by the training rule, and the sides of every seed's split.
+POINTS = {1: 13, 2: 33, 5: 53, 10: 80, 20: 100, 30: 127, 50: 147, 60: 167}
+SEEDS = (42, 43)
+
+
+def sides(rows: str, seed: str) -> str:
+    """Files of ``rows`` with the side that ``seed`` puts them on."""
+    return f"""SELECT file, r <= ceil(g * 0.3e0) AS is_test FROM (SELECT file, row_number() OVER (ORDER BY md5(file || '#{seed}')) AS r, count(*) OVER () AS g FROM (SELECT DISTINCT file FROM {rows}))"""
+
+
+for seed in SEEDS:
+    block(f"side{seed}", ["master"], sides("master", seed))
+    block(f"outer{seed}", ["master", f"side{seed}"], f"SELECT m.* FROM master m JOIN side{seed} s ON m.file = s.file WHERE NOT s.is_test")
+    block(f"inner{seed}", [f"outer{seed}"], f"SELECT m.* FROM outer{seed} m JOIN ({sides(f'outer{seed}', seed)}) s ON m.file = s.file WHERE NOT s.is_test")
+add("M10_experiment_points", ["master", *(f"side{s}" for s in SEEDS)], "SELECT w.window_sec, m.model, s.*, w.n_features FROM (" + " UNION ALL ".join(
+    f"""SELECT {s} AS random_state, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test,
+  count(DISTINCT m.file) FILTER (NOT is_test) AS train_files, count(DISTINCT m.file) FILTER (is_test) AS test_files FROM master m JOIN side{s} s ON m.file = s.file"""
+    for s in SEEDS) + f""") s CROSS JOIN (VALUES ('RF'), ('GBT'), ('MLP')) AS m(model) CROSS JOIN (VALUES {", ".join(map(str, POINTS.items()))}) AS w(window_sec, n_features)""")
+# The sweep's candidates: a fixed list that follows from its seed.
+DRAW = random.Random(42)
+TRIALS = [(n, round(DRAW.randrange(51) / 100, 2), round(0.75 + DRAW.randrange(26) / 100, 2), round(1.5 + DRAW.randrange(36) / 10, 1)) for n in range(100)]
+add("M19_trial_sizes", [f"inner{s}" for s in SEEDS], """
+SELECT random_state, trial, "inner", "outer", factor, cycle_label_3name, n_class, CAST(floor(n_class * factor) AS BIGINT) AS n_synthetic FROM (""" + " UNION ALL ".join(
+    f"SELECT {s} AS random_state, cycle_label_3name, count(*) AS n_class FROM inner{s} GROUP BY cycle_label_3name" for s in SEEDS
+) + ") CROSS JOIN (VALUES " + ", ".join(f"({t}, {i}e0, {o}e0, {f}e0)" for t, i, o, f in TRIALS) + """) AS t(trial, "inner", "outer", factor)""")
 block("pred", ["master"], """
 SELECT "Cycle" % 3 AS seed, CASE WHEN "Cycle" % 2 = 0 THEN 'a' ELSE 'b' END AS model, cycle_label_3name AS y_true,
   CASE WHEN "IR_proxy" > 0.5e0 THEN 'BAD' WHEN "DChg_Spec_mAhg" >= 150e0 THEN 'GOOD_drone' ELSE 'GOOD_not_drone' END AS y_pred FROM master""")

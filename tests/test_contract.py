@@ -22,7 +22,7 @@ def test_every_sql_has_a_query():
     text = {n for n in q if n == "pipeline" or n.startswith("op")}
     assert {n for n in q if n not in o} - text == {
         "M07_M08_M09_M10_experiment_metrics", "M10_predictions", "M14_L02_feature_importance", "M16_P28_F13_feature_set_grid",
-        "M17_synthetic_rows", "M19_augmentation_sweep", "M20_augmented_comparison",
+        "M17_synthetic_rows",
     }
 
 
