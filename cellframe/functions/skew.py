@@ -10,8 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellframe.functions.lineage import materialise
+
 SALTS = 8
 SALT = "_salt"
+#: Distinct values of a key that one window may sort, and cells a bracket is cut into.
+FEW_VALUES = 50_000
+CELLS = 64
 
 
 def salt_of(columns: list[str], salts: int = SALTS) -> Column:
@@ -126,72 +131,70 @@ def chunked_running_sum(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10000
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per key; no group is ever held in one task.
+def _at_ranks(values: DataFrame, by: list[str], ranks: DataFrame) -> DataFrame:
+    """Value at each 0-based rank: ``values`` (by, _v, _c) of bounded groups, ``ranks`` (by, _t, _rank) -> (by, _t, _x)."""
+    upto = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = values.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_start", F.col("_cum") - F.col("_c"))
+    wanted = ranks.groupBy(*by).agg(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_rank").alias("rank"))).alias("_w"))  # two per probability
+    here = lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_cum"))
+    hits = cum.join(wanted, by).select(*by, "_v", F.explode(F.filter("_w", here)).alias("_hit"))
+    return hits.select(*[c for c in by if c != "_t"], F.col("_hit.t").alias("_t"), F.col("_v").alias("_x"))
+
 
-    1. a mergeable sketch brackets each wanted rank with two data values;
-    2. rows are reduced to (key, value, count), then everything below and
-       everything above the bracket collapses to one row each;
-    3. the rank is read off the few values left in the bracket.
+def _narrowed(counts: DataFrame, ks: list[str], brackets: DataFrame) -> DataFrame:
+    """One pass of the rank search: every bracket (ks, _t, _rank, _lo, _hi) shrinks to the cell that holds its rank.
 
-    The bracket spans about 4 / accuracy of the ranks.  If a sketch ever missed
-    a rank the query stops with an error instead of returning a near value.
-    ``probs`` maps output column to probability.  Nulls are ignored.
+    Cells are cut at approximate quantiles of the distinct values in the bracket,
+    then counted exactly; ``_rank`` goes on counting from the cell's first value.
+    """
+    here = [*ks, "_t"]
+    inside = salted_lookup(counts, brackets, ks, ["_v"], how="inner").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    cuts = inside.groupBy(*here).agg(F.percentile_approx("_v", F.array(*[F.lit(k / CELLS) for k in range(1, CELLS)]), F.lit(100 * CELLS)).alias("_cuts"))
+    celled = salted_lookup(inside, cuts, here, ["_v"], how="inner").withColumn("_cell", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
+    cells = celled.groupBy(*here, "_rank", "_cell").agg(
+        F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_distinct"),
+    )
+    start = F.coalesce(F.sum("_c").over(Window.partitionBy(*here).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("_start", start).where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_c")))
+    return cells.select(*here, (F.col("_rank") - F.col("_start")).alias("_rank"), "_lo", "_hi", "_distinct")
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], limit: int = FEW_VALUES
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per key, for all keys and probabilities at once.
+
+    Rows are reduced to (key, value, count) first, a table spread by key and
+    value.  A rank is read off a sorted window only where that holds at most
+    ``limit`` distinct values.  Larger keys are searched: repeated distributed
+    counts narrow each rank's bracket to one of ``CELLS`` cells a pass, until
+    ``limit`` values are left in it, so no task ever holds a key.  ``probs`` maps
+    output column to probability.  Nulls are ignored.
     """
-    names = list(probs)
     const = "_all"
     ks = keys or [const]
-    base = df.where(F.col(value).isNotNull())
-    rows = base.select(*(keys or [F.lit(0).alias(const)]), F.col(value).cast("double").alias("_v"))
-    margin = 2.0 / accuracy
-    probes = [min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-margin, margin)]
-    sketch = rows.groupBy(*ks).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(float(p)) for p in probes]), F.lit(accuracy)).alias("_q"),
-    )
-    wanted = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.col("_q")[2 * i].alias("lo"),
-            F.col("_q")[2 * i + 1].alias("hi"),
-            ((F.col("_n") - 1) * F.lit(float(probs[n]))).alias("h"),
-        )
-        for i, n in enumerate(names)
+    rows = df.where(F.col(value).isNotNull()).select(*(keys or [F.lit(0).alias(const)]), F.col(value).cast("double").alias("_v"))
+    counts = materialise(rows.groupBy(*ks, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    sizes = counts.groupBy(*ks).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_distinct"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    h = {n: (F.col("_n") - 1) * F.lit(float(p)) for n, p in probs.items()}
+    targets = F.array(*[F.struct(F.lit(2 * i + j).alias("_t"), (F.ceil(x) if j else F.floor(x)).cast("long").alias("_rank")) for i, x in enumerate(h.values()) for j in (0, 1)])
+    largest = sizes.agg(F.max("_distinct")).first()[0]
+    if largest is None or largest <= limit:
+        ranks = sizes.select(*ks, F.explode(targets).alias("_w")).select(*ks, "_w.*")
+        found = _at_ranks(counts, ks, ranks)
+    else:
+        brackets = sizes.select(*ks, "_lo", "_hi", "_distinct", F.explode(targets).alias("_w")).select(*ks, "_w.*", "_lo", "_hi", "_distinct")
+        while True:
+            brackets = materialise(_narrowed(counts, ks, brackets.drop("_distinct")))
+            if brackets.agg(F.max("_distinct")).first()[0] <= limit:
+                break
+        inside = salted_lookup(counts, brackets, ks, ["_v"], how="inner").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        found = _at_ranks(inside.select(*ks, "_t", "_v", "_c"), [*ks, "_t"], brackets.select(*ks, "_t", "_rank"))
+    picked = found.groupBy(*ks).agg(*[F.max(F.when(F.col("_t") == t, F.col("_x"))).alias(f"_x{t}") for t in range(2 * len(probs))])
+    both = picked.join(sizes.select(*ks, "_n"), ks)
+    out = both.select(*ks, *[
+        (F.col(f"_x{2 * i}") + (F.col(f"_x{2 * i + 1}") - F.col(f"_x{2 * i}")) * (x - F.floor(x))).alias(n) for i, (n, x) in enumerate(h.items())
     ])
-    targets = sketch.select(*ks, F.explode(wanted).alias("_w")).select(
-        *ks, F.col("_w.i").alias("_i"), F.col("_w.lo").alias("_lo"), F.col("_w.hi").alias("_hi"), F.col("_w.h").alias("_h")
-    )
-    counts = rows.groupBy(*ks, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
-    # Below and above the bracket collapse to one row each, kept with the value next to the bracket.
-    cells = (
-        salted_lookup(counts, targets, ks, ["_v"], how="inner")
-        .withColumn("_side", side)
-        .withColumn("_cell", F.when(F.col("_side") == 0, F.col("_v")))
-        .groupBy(*ks, "_i", "_h", "_side", "_cell")
-        .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    )
-    upto = Window.partitionBy(*ks, "_i", "_h").orderBy("_side", F.col("_cell").asc_nulls_first())
-    ranked = cells.withColumn("_cum", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def at(rank: Column) -> Column:
-        """Value at a 0-based rank: a bracket cell, or the one value beside the bracket."""
-        start = F.col("_cum") - F.col("_c")
-        here = (start <= rank) & (rank < F.col("_cum"))
-        beside = ((F.col("_side") == -1) & (rank == F.col("_cum") - 1)) | ((F.col("_side") == 1) & (rank == start))
-        value = F.when(F.col("_side") < 0, F.col("_max")).otherwise(F.col("_min"))
-        return F.max(F.when(here & ((F.col("_side") == 0) | beside), value))
-
-    picked = ranked.groupBy(*ks, "_i", "_h").agg(at(F.floor("_h")).alias("_a"), at(F.ceil("_h")).alias("_b"))
-    missed = F.col("_a").isNull() | F.col("_b").isNull()
-    v = F.when(missed, F.raise_error(F.lit("quantile sketch missed a rank; raise accuracy")).cast("double")).otherwise(
-        F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
-    )
-    out = picked.select(*ks, "_i", v.alias("_x")).groupBy(*ks).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)]
-    )
     return out if keys else out.drop(const)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cellframe.functions import skew
 from cellframe.functions.skew import (
     chunked_previous, chunked_running_sum, exact_mad, exact_quantiles, rank_by_hash, running_index, salted_lookup,
 )
@@ -24,16 +25,48 @@ def skewed(spark):
     return df, pdf
 
 
-@pytest.mark.parametrize("accuracy", [20, 10000])
-def test_quantiles_are_exact(skewed, accuracy):
+@pytest.mark.parametrize("limit", [1, 20, 10000])
+def test_quantiles_are_exact(skewed, limit):
     df, pdf = skewed
     probs = {"a": 0.0, "b": 0.2, "c": 0.5, "d": 0.8, "e": 1.0}
-    got = exact_quantiles(df, ["k"], "v", probs, accuracy).toPandas().set_index("k")
+    got = exact_quantiles(df, ["k"], "v", probs, limit).toPandas().set_index("k")
     for name, p in probs.items():
         want = pdf.groupby("k")["v"].quantile(p)
         pd.testing.assert_series_equal(got[name].sort_index(), want.sort_index(), check_names=False)
 
 
+def test_a_hot_key_is_never_held_by_one_task(spark, skewed, monkeypatch):
+    """No window meets more than the allowed values, and the counts of the hot key lie in several partitions."""
+    df, pdf = skewed
+    seen = []
+    plain = skew._at_ranks
+
+    def watched(values, by, ranks):
+        seen.append(values.groupBy(*by).count().agg(F.max("count")).first()[0])
+        return plain(values, by, ranks)
+
+    def narrowed(counts, ks, brackets, plain=skew._narrowed):
+        hot = counts.where("k = 0").groupBy(F.spark_partition_id()).count()
+        assert hot.count() > 1 and hot.agg(F.sum("count")).first()[0] > 100
+        return plain(counts, ks, brackets)
+
+    monkeypatch.setattr(skew, "_at_ranks", watched)
+    monkeypatch.setattr(skew, "_narrowed", narrowed)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    try:
+        got = {r.k: (r.a, r.b) for r in exact_quantiles(df, ["k"], "v", {"a": 0.37, "b": 0.9}, 25).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(seen) <= 25
+    for k, g in pdf.groupby("k")["v"]:
+        assert got[k] == (pytest.approx(g.quantile(0.37)), pytest.approx(g.quantile(0.9)))
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([(1, None)], "k int, v double")
+    assert exact_quantiles(empty, ["k"], "v", {"m": 0.5}).count() == 0 and exact_quantiles(empty, [], "v", {"m": 0.5}).count() == 0
+
+
 def test_global_quantile_and_mad(skewed):
     df, pdf = skewed
     assert exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(pdf["v"].median())
