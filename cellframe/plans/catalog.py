@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,23 @@ def rounded(df: DataFrame) -> DataFrame:
     ])
 
 
+def digested(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: how many rows it has, and the MD5 of all their values in ``order``, doubles as whole millionths.
+
+    Wide results are compared this way in full without being shipped in full.
+    ``order`` tells the rows of a key apart; a key's rows are bounded (a cycle's grid or windows).
+    """
+    def cell(f) -> Column:
+        c = F.col(f"`{f.name}`")
+        whole = F.round(c * F.lit(1e6)).cast("bigint") if isinstance(f.dataType, T.DoubleType) else c
+        return F.coalesce(whole.cast("string"), F.lit("n"))
+
+    fields = sorted((f for f in df.schema.fields if f.name not in (*keys, *order)), key=lambda f: f.name)
+    rows = F.collect_list(F.struct(*order, F.concat_ws(",", *[cell(f) for f in fields]).alias("_cells")))
+    text_of = F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat_ws(":", *[r[o].cast("string") for o in order], r["_cells"])), ";")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.md5(text_of.cast("binary")).alias("digest"))
+
+
 def epoch(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: coerce.seconds(F.col(c)) for c in cols})
 
@@ -392,12 +409,12 @@ def _(spark, sf):
 
 @query("T02_T03_W10_resampled_grid")
 def _(spark, sf):
-    return rounded(grid(spark, sf).drop("idx"))
+    return digested(grid(spark, sf).drop("idx"), KEYS, ["t_sec"])
 
 
 @query("F08_full_window")
 def _(spark, sf):
-    return rounded(full_grid(spark, sf).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("points"), *[F.sum(f).alias(f"sum_{f}") for f in SERIES]))
+    return digested(full_grid(spark, sf).select(*KEYS, "t_sec", *SERIES), KEYS, ["t_sec"])
 
 
 @query("T04_P24_wide_series")
@@ -407,9 +424,7 @@ def _(spark, sf):
 
 @query("T05_F11_prefixes")
 def _(spark, sf):
-    return rounded(align.prefixes(full_grid(spark, sf)).groupBy("file", "w").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("Cycle").alias("cycles"), F.max("t_sec").alias("last_t"), *[F.sum(f).alias(f"sum_{f}") for f in SERIES]
-    ))
+    return digested(align.prefixes(full_grid(spark, sf)).select(*KEYS, "w", "t_sec", *SERIES), [*KEYS, "w"], ["t_sec"])
 
 
 @query("T06_wide_to_long")
@@ -432,7 +447,7 @@ def _(spark, sf):
 
 @query("E01_E26_W11_W12_early_features")
 def _(spark, sf):
-    return rounded(early(spark, sf))
+    return digested(early(spark, sf), KEYS, ["w"])
 
 
 @query("E27_A19_window_counts")

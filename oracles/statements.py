@@ -19,6 +19,13 @@ def rq(*cols: str) -> str:
     return ", ".join(r6(f'"{c}"', c) for c in cols)
 
 
+def digest(source: str, keys: str, order: str, doubles: list[str], wholes: list[str] = ()) -> str:
+    """Rows and MD5 of all values per key: columns by name, doubles as whole millionths, rows by ``order``."""
+    cells = {c: f'CAST(round("{c}" * 1e6) AS BIGINT)' for c in doubles} | {c: f'"{c}"' for c in wholes}
+    row = " || ',' || ".join(f"coalesce(CAST({cells[c]} AS VARCHAR), 'n')" for c in sorted(cells))
+    return f"SELECT {keys}, count(*) AS rows, md5(string_agg({order} || ':' || {row}, ';' ORDER BY {order})) AS digest FROM {source} GROUP BY {keys}"
+
+
 # --- sources -----------------------------------------------------------------
 
 add("S01_file_listing", [], "SELECT 'orders.parquet' AS file, count(*) AS rows FROM orders")
@@ -148,13 +155,11 @@ FROM master m LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 11 <> 0) c ON
 add("J03_interval_join", ["inside"], f"SELECT {K}, ph, rec_no FROM inside")
 add("W08_W09_phase_offsets", ["offsets"], f"""SELECT {K}, ph, {r6("epoch_us(t0) / 1e6", "t0")}, {r6("off", "offset")} FROM offsets""")
 add("T01_aligned_series", ["aligned"], f"SELECT {K}, ph, rec_no, {rq('x', 'voltage_v', 'current_a', 'power_w')} FROM aligned")
-add("T02_T03_W10_resampled_grid", ["grid"], f"SELECT {K}, t_sec, {rq(*SERIES)} FROM grid")
-add("F08_full_window", ["fullgrid"], f"""SELECT {K}, count(*) AS points, {", ".join(r6(f"sum({f})", f"sum_{f}") for f in SERIES)} FROM fullgrid GROUP BY {K}""")
+add("T02_T03_W10_resampled_grid", ["grid"], digest("grid", K, "t_sec", SERIES))
+add("F08_full_window", ["fullgrid"], digest("fullgrid", K, "t_sec", SERIES))
 add("T04_P24_wide_series", ["fullgrid"], f"SELECT {K}, " + ", ".join(r6(f"max({f}) FILTER (t_sec = {t})", f"{f}_t{t}") for t in range(61) for f in SERIES) + f" FROM fullgrid GROUP BY {K}")
 WIN = "(VALUES " + ", ".join(f"({w})" for w in W) + ") AS win(w)"
-add("T05_F11_prefixes", ["fullgrid"], f"""
-SELECT file, w, count(*) AS rows, count(DISTINCT "Cycle") AS cycles, max(t_sec) AS last_t, {", ".join(r6(f"sum({f})", f"sum_{f}") for f in SERIES)}
-FROM fullgrid JOIN {WIN} ON t_sec <= w GROUP BY file, w""")
+add("T05_F11_prefixes", ["fullgrid"], digest(f"fullgrid JOIN {WIN} ON t_sec <= w", f"{K}, w", "t_sec", SERIES))
 add("T06_wide_to_long", ["fullgrid"], f"SELECT {K}, t_sec, {rq('voltage_v', 'current_a')} FROM fullgrid")
 add("F07_series_issues", ["cand", "valid", "aligned", "fullgrid"], """
 SELECT file, "Cycle", reason FROM (SELECT c.file, c."Cycle",
@@ -211,7 +216,7 @@ FROM feat0 f LEFT JOIN featpos p ON f.file = p.file AND f."Cycle" = p."Cycle" AN
 FLAGS = ["voltage_collapse_flag", "IR_high_flag", "dvdt_fluct_flag"]
 INTERNAL = {"v0", "v1", "v2", "n", "energy0", "dchg_cap0", "dchg_spec0"}
 FEATURES = [a for a, _ in AGG if a not in INTERNAL] + list(DER) + list(ALIASES) + ["traj_V_rel_area"]
-add("E01_E26_W11_W12_early_features", ["feat"], f"SELECT {K}, w, {rq(*FEATURES)}, " + ", ".join(f'"{f}"' for f in FLAGS) + " FROM feat")
+add("E01_E26_W11_W12_early_features", ["feat"], digest("feat", K, "w", FEATURES, FLAGS))
 add("E27_A19_window_counts", ["feat"], "SELECT w, count(*) AS rows, CASE WHEN w < 2 THEN 65 WHEN w < 4 THEN 72 ELSE 75 END AS n_features FROM feat GROUP BY w")
 
 L16 = ["IR_early", "IR_high_flag", "I_mean", "I_std", "V_mean", "V_min", "V_sag", "V_sag_ratio", "dvdt_fluct_flag", "dvdt_mean", "dvdt_std", "energy_per_I", "energy_ws", "power_mean", "power_std", "voltage_collapse_flag"]
