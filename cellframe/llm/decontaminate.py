@@ -65,7 +65,7 @@ def signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
-def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, item_id: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, item_id: str = "item_id", copies: bool = False) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, n_shared, containment) where a document contains an item.
 
     ``n_shingles`` counts the item's distinct five-word shingles, ``n_shared``
@@ -73,7 +73,8 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, i
     reaches ``containment``.  A text of fewer words has one shingle, all of it,
     and is contained only in an equal one; null and wordless texts contain
     nothing and are contained in nothing.  Repeated rows give one pair, the one
-    with most shared; rows with a null id are no part of the search.
+    with most shared; rows with a null id are no part of the search.  ``copies``
+    says that rows of one doc_id have one text, of which one is compared.
     """
     shingled = pa.schema([("item_id", pa.int64()), ("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
@@ -107,7 +108,8 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, i
                 yield pa.RecordBatch.from_pydict(out, schema=found)
 
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = materialise(texts.mapInArrow(search, "doc_id long, keys array<long>, shingles array<long>"))
+    hits = texts.mapInArrow(search, "doc_id long, keys array<long>, shingles array<long>")
+    hits = materialise(hits.dropDuplicates(["doc_id"]) if copies else hits)
     by_key = indexed.select(F.explode("keys").alias("key"), "item_id")
     pairs = hits.select("doc_id", F.explode("keys").alias("key")).join(by_key, "key").select("doc_id", "item_id").distinct()
     exact = pairs.join(indexed.select("item_id", F.col("shingles").alias("asked")), "item_id").join(hits.select("doc_id", "shingles"), "doc_id")
@@ -127,6 +129,14 @@ def item_minima(shingles: np.ndarray, band: int) -> np.ndarray:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without the documents that contain an item; documents with a null id stay."""
-    found = leaks(docs, items, containment).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the texts that contain an item.
+
+    Whether a text goes depends on it alone, so texts and items are named by
+    their hash here: rows without an id are judged like any other, and so are
+    different texts under one id.
+    """
+    name = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    asked = items.where(F.col("text").isNotNull()).select(name.alias("item_id"), "text").dropDuplicates(["item_id"])
+    found = leaks(docs.where(F.col("text").isNotNull()).select(name.alias("doc_id"), "text"), asked, containment, copies=True)
+    gone = found.select(F.col("doc_id").alias("_name")).distinct()
+    return docs.withColumn("_name", name).join(gone, "_name", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
