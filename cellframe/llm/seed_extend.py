@@ -113,7 +113,8 @@ def kept_words(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFra
     word goes if a window of ``least`` words over it also starts earlier, in a
     document with a smaller doc_id or in the same one.  A null text has no words;
     a null doc_id counts as smallest; rows with one doc_id count as one document
-    in this comparison, so that a repeated row does not remove its twin.  An
+    in this comparison, so that a repeated row does not remove its twin, but
+    each of its texts loses its own words only.  An
     empty table gives no rows.
     """
     digest_of_text = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
@@ -138,9 +139,9 @@ def kept_words(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFra
     short = F.xxhash64("key").alias("row")  # with doc_id, names a text well enough
     copies = materialise(sketched.select("doc_id", "key").join(first, "key").where("doc_id > first").select("doc_id", short).distinct())
     originals = sketched.withColumn("row", short).join(copies, ["doc_id", "row"], "left_anti")
-    occurrences = originals.select("doc_id", F.explode("anchors").alias("anchor"))
+    occurrences = originals.select("doc_id", "row", F.explode("anchors").alias("anchor"))
     shared = materialise(occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    seeded = materialise(occurrences.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    seeded = materialise(occurrences.join(shared, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("anchors")))
 
     around = pa.schema([
         ("doc_id", pa.int64()), ("key", pa.binary()), ("text", pa.string()), ("own", pa.list_(pa.int32())),
@@ -157,22 +158,22 @@ def kept_words(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFra
                 own.append(found[1])
             yield pa.RecordBatch.from_pydict({"doc_id": cols["doc_id"], "key": cols["key"], "text": cols["text"], "own": own, "runs": runs}, schema=around)
 
-    extended = materialise(likely(rows, seeded).join(seeded, "doc_id").mapInArrow(extend, f"doc_id long, key binary, text string, own array<int>, runs array<struct<{WINDOWS}>>"))
+    extended = materialise(likely(rows, seeded).withColumn("row", short).join(seeded, ["doc_id", "row"]).drop("row").mapInArrow(extend, f"doc_id long, key binary, text string, own array<int>, runs array<struct<{WINDOWS}>>"))
     extended = extended.withColumn("row", short).join(copies, ["doc_id", "row"], "left_anti")
-    at = extended.select("doc_id", F.inline("runs"))
+    at = extended.select("doc_id", "row", F.inline("runs"))
     contents = at.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("anchor").alias("anchor"))
     several = contents.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
     contents = contents.join(several, "anchor").select("run", "first", "several")
     placed = materialise(
         at.join(contents, "run").where((F.col("doc_id") > F.col("first")) | F.col("several"))
-        .select("doc_id", "start", F.size("windows").alias("n"), F.when(F.col("doc_id") == F.col("first"), F.col("windows")).alias("windows"))
+        .select("doc_id", "row", "start", F.size("windows").alias("n"), F.when(F.col("doc_id") == F.col("first"), F.col("windows")).alias("windows"))
     )
-    later = placed.where("windows is null").select("doc_id", "start", "n")
-    opened = placed.where("windows is not null").select("doc_id", "start", F.posexplode("windows").alias("k", "hash")).select("doc_id", (F.col("start") + F.col("k")).alias("start"), "hash")
+    later = placed.where("windows is null").select("doc_id", "row", "start", "n")
+    opened = placed.where("windows is not null").select("doc_id", "row", "start", F.posexplode("windows").alias("k", "hash")).select("doc_id", "row", (F.col("start") + F.col("k")).alias("start"), "hash")
     earliest = opened.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    later = later.unionByName(opened.join(earliest, "hash").where("doc_id > first").select("doc_id", "start", F.lit(1).alias("n")))
-    own = extended.select("doc_id", F.explode("own").alias("start")).withColumn("n", F.lit(1))
-    gone = later.unionByName(own).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    later = later.unionByName(opened.join(earliest, "hash").where("doc_id > first").select("doc_id", "row", "start", F.lit(1).alias("n")))
+    own = extended.select("doc_id", "row", F.explode("own").alias("start")).withColumn("n", F.lit(1))
+    gone = later.unionByName(own).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
 
     cut = pa.schema([
         ("doc_id", pa.int64()), ("key", pa.binary()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
@@ -193,7 +194,7 @@ def kept_words(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFra
             yield pa.RecordBatch.from_pydict(out, schema=cut)
 
     spans = "array<struct<start: int, end: int>>"
-    removed = extended.select("doc_id", "key", "text").join(gone, "doc_id").mapInArrow(remove, f"doc_id long, key binary, n_removed long, kept_sha256 string, spans {spans}")
+    removed = extended.select("doc_id", "row", "key", "text").join(gone, ["doc_id", "row"]).drop("row").mapInArrow(remove, f"doc_id long, key binary, n_removed long, kept_sha256 string, spans {spans}")
     copied = copies.select("doc_id", "row", F.lit(True).alias("copied"))
     all_rows = sketched.select("doc_id", "key", "n_words", "kept", short).join(copied, ["doc_id", "row"], "left").join(removed.dropDuplicates(["doc_id", "key"]), ["doc_id", "key"], "left")
     whole = F.coalesce(F.col("copied"), F.lit(False)) & (F.col("n_words") >= least)
