@@ -23,6 +23,7 @@ from cellframe.functions.skew import running_index
 FINENESS = 512
 SHARDS_PER_RANGE = 64
 ROWS_PER_CHUNK = 100_000
+PIECES = 32  # that a shard's worth of a group too large for one is cut into
 
 
 class CapacityTree:
@@ -83,19 +84,21 @@ def tightest(sizes: list[int], bins: int) -> list[int]:
         spare = max(spare * 2, even >> 14, 1)
 
 
-def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = None, text: str = "text", fineness: int = FINENESS) -> DataFrame:
+def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = None, text: str = "text", fineness: int = FINENESS, carry: list[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard and slot, without the text.
 
     Give the number of ``shards``, which then get near equal bytes, or the
     ``capacity`` in bytes of each.  The size of a row is its text's UTF-8 bytes
     (null: none) plus 1; a null text groups with empty ones.  ``slot`` counts
     the rows of a shard from 0.  Repeated rows and null doc_ids are rows like
-    any other; an empty table gives no rows.
+    any other; an empty table gives no rows.  A group that no shard can hold is
+    split by row, whatever its ids.  ``carry`` names columns to pass through.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = materialise(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("key"),
+        F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"_{c}") for c in carry],
     ))
     n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if shards:
@@ -105,14 +108,14 @@ def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = No
     room = max(room, 1)
     bundles = fineness * max(1, -(-total // room))
     heavy = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * bundles > total)
-    pieces = F.when(F.col("bytes") > room, F.ceil(F.col("bytes") * 2 / room)).otherwise(1).cast("long")
+    pieces = F.when(F.col("bytes") > room, F.ceil(F.col("bytes") * PIECES / room)).otherwise(1).cast("long")
     heavy = heavy.select("key", pieces.alias("pieces"))  # fewer rows than there are bundles
     if bundles <= 100_000:
         heavy = F.broadcast(heavy)
     item = F.when(
         F.col("pieces").isNull(), F.concat(F.lit("b"), F.pmod(F.xxhash64("key"), F.lit(bundles))),
-    ).otherwise(F.concat(F.hex("key"), F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))))
-    placed = rows.join(heavy, "key", "left").select("doc_id", "size", "text_crc32", "key", item.alias("item"))
+    ).otherwise(F.concat(F.hex("key"), F.lit("-"), F.pmod(F.xxhash64("row"), F.col("pieces"))))
+    placed = rows.join(heavy, "key", "left").select("doc_id", "size", "text_crc32", "key", "row", item.alias("item"), *[f"_{c}" for c in carry])
     items = placed.groupBy("item").agg(F.sum("size").alias("bytes")).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(ranges)))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,11 +130,12 @@ def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = No
     if bundles <= 100_000:
         bins = F.broadcast(bins)
     chunks = n_rows // ROWS_PER_CHUNK + 1
-    out = placed.join(bins, "item").withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)))
-    out = running_index(out, ["shard"], ["doc_id", "key"], ["_chunk"], "slot")
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") - 1).alias("slot"))
+    out = placed.join(bins, "item").withColumn("_chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
+    out = running_index(out, ["shard"], ["doc_id", "key", "row"], ["_chunk"], "slot")
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") - 1).alias("slot"), *[F.col(f"_{c}").alias(c) for c in carry])
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """The documents as Parquet, one folder per shard."""
-    docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int | None = None, capacity: int | None = None) -> None:
+    """The rows of ``docs`` as Parquet, one folder per shard, with their slot; other columns of ``docs`` stay out but for the text."""
+    placed = assign(docs, shards, capacity, carry=["text"])
+    placed.select("doc_id", "text", "shard", "slot").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
