@@ -24,7 +24,7 @@ from cellframe.llm.common import rows_of
 BUCKET_BITS = 18
 ORDERS = (3, 4, 5)
 PER_CLASS = 2000
-LEAST_ROWS = 5
+PARTS = 8
 THRESHOLD = 0.3
 
 
@@ -57,10 +57,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def log_count_ratios(labelled: DataFrame) -> np.ndarray:
-    """Smoothed log ratio per bucket over all labelled rows (text, label); the result has a fixed size.
-
-    Buckets met in fewer than ``LEAST_ROWS`` rows say nothing and get 0.
-    """
+    """Smoothed log ratio per bucket over all labelled rows (text, label); the result has a fixed size."""
     schema = pa.schema([("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,34 +76,51 @@ def log_count_ratios(labelled: DataFrame) -> np.ndarray:
     got = counts.toPandas()  # one row per bucket at most
     total = got[got["bucket"] < 0]
     n_pos, n_neg = (int(total["pos"].sum()), int(total["neg"].sum()))
-    got = got[(got["bucket"] >= 0) & (got["pos"] + got["neg"] >= LEAST_ROWS)]
+    got = got[got["bucket"] >= 0]
     ratio = np.zeros(1 << BUCKET_BITS)
     ratio[got["bucket"]] = np.log((got["pos"] + 1) / (n_pos + 2)) - np.log((got["neg"] + 1) / (n_neg + 2))
     return ratio
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, scale: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge-penalised logistic regression on scaled 0/1 features, by L-BFGS.
+def gradient(sample: DataFrame, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+    """Loss, gradient by bucket and gradient of the bias over rows (label, share, buckets), summed where the rows are.
 
-    Works through the rows in blocks and keeps no value per feature and row but the bucket's number.
+    Each task returns one vector of fixed size, so what comes to the driver does
+    not depend on how long the texts are.
+    """
+    schema = pa.schema([("loss", pa.float64()), ("error", pa.float64()), ("grad", pa.binary())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grad, loss, error = np.zeros(1 << BUCKET_BITS), 0.0, 0.0
+        for cols in rows_of(batches, 100):
+            for y, share, raw in zip(cols["label"], cols["share"], cols["buckets"], strict=True):
+                r = np.frombuffer(raw, dtype="<i4")
+                z = float(weights[r].sum()) + bias
+                e = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+                grad[r] += e  # a row has each bucket once
+                error += e
+                loss += share * (np.logaddexp(0, z) - y * z)
+        yield pa.RecordBatch.from_pydict({"loss": [loss], "error": [error], "grad": [grad.tobytes()]}, schema=schema)
+
+    parts = sample.mapInArrow(sums, "loss double, error double, grad binary").collect()  # one row per task, of which there are PARTS at most
+    total = np.zeros(1 << BUCKET_BITS)
+    for r in parts:
+        total += np.frombuffer(r.grad)
+    return sum(r.loss for r in parts), total, sum(r.error for r in parts)
+
+
+def logistic(sample: DataFrame, scale: np.ndarray, prior: float, ridge: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge-penalised logistic regression on scaled 0/1 features, by L-BFGS; Spark sums each step.
+
+    ``sample`` holds label, share (adding up to 1) and the buckets of each row.
     """
-    used = np.unique(np.concatenate([np.unique(np.concatenate(rows[at : at + 100])) for at in range(0, len(rows), 100)])) if rows else np.zeros(0, dtype=np.int32)
-    rows = [np.searchsorted(used, r).astype(np.int32) for r in rows]
-    scale_of = scale[used]
-    share = share / share.sum()
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        scaled = w[:-1] * scale_of
-        z = np.array([scaled[r].sum() for r in rows]) + w[-1]
-        e = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        grad = np.zeros(len(used))
-        for r, x in zip(rows, e, strict=True):
-            grad[r] += x  # a row has each bucket once
-        value = float((share * (np.logaddexp(0, z) - y * z)).sum()) + ridge / 2 * float(w[:-1] @ w[:-1])
-        return value, np.concatenate([grad * scale_of + ridge * w[:-1], [e.sum()]])
-
-    w = np.zeros(len(used) + 1)
-    w[-1] = np.log(max((share * y).sum(), 1e-3) / max((share * (1 - y)).sum(), 1e-3))
+        value, grad, error = gradient(sample, w[:-1] * scale, float(w[-1]))
+        return value + ridge / 2 * float(w[:-1] @ w[:-1]), np.concatenate([grad * scale + ridge * w[:-1], [error]])
+
+    w = np.zeros(len(scale) + 1)
+    w[-1] = prior
     value, grad = loss(w)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
@@ -134,9 +148,7 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, scale: np
         w, value, grad = w + s, new_value, new_grad
         if done:
             break
-    out = np.zeros(len(scale))
-    out[used] = w[:-1] * scale_of
-    return out, float(w[-1])
+    return w[:-1] * scale, float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -158,21 +170,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         return Model(np.zeros(1 << BUCKET_BITS, dtype=np.float32), -30.0)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = own.where("label = 0").orderBy(*by_hash).limit(per_class).unionByName(own.where("label = 1").orderBy(*by_hash).limit(per_class))
-    schema = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("buckets", pa.binary())])
+    schema = pa.schema([("label", pa.int32()), ("buckets", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in rows_of(batches):
             buckets = [(f := features(t))[ratio[f] != 0].astype("<i4").tobytes() for t in cols["text"]]
-            yield pa.RecordBatch.from_pydict({"label": cols["label"], "doc_id": cols["doc_id"], "buckets": buckets}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"label": cols["label"], "buckets": buckets}, schema=schema)
 
     few = F.broadcast(some)  # 2 * per_class rows at most
-    got = text.join(few, "doc_id").mapInArrow(extract, "label int, doc_id long, buckets binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.buckets))
-    y = np.array([r.label for r in got], dtype=np.float64)
-    share = np.array([counts[r.label] / min(per_class, counts[r.label]) for r in got], dtype=np.float64)
-    if not got:
+    found = materialise(text.join(few, "doc_id").mapInArrow(extract, "label int, buckets binary"))
+    rows_by = {r.label: r["count"] for r in found.groupBy("label").count().collect()}
+    if not rows_by:
         return Model(np.zeros(1 << BUCKET_BITS, dtype=np.float32), -30.0)
-    weights, bias = logistic([np.frombuffer(r.buckets, dtype="<i4") for r in got], y, share, ratio)
+    share = {label: counts[label] / min(per_class, counts[label]) for label in rows_by}
+    total = sum(share[label] * n for label, n in rows_by.items())
+    part = {label: share[label] * n / total for label, n in rows_by.items()}
+    weight = F.when(F.col("label") == 1, F.lit(share.get(1, 0.0) / total)).otherwise(F.lit(share.get(0, 0.0) / total))
+    sample = found.withColumn("share", weight).coalesce(PARTS)
+    prior = float(np.log(max(part.get(1, 0.0), 1e-3) / max(part.get(0, 0.0), 1e-3)))
+    weights, bias = logistic(sample, ratio, prior)
     return Model(weights.astype(np.float32), bias)
 
 
