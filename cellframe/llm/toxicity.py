@@ -73,12 +73,12 @@ def log_count_ratios(labelled: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bucket": [-1], "pos": [rows[1]], "neg": [rows[0]]}, schema=schema)
 
     counts = labelled.mapInArrow(count, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    got = counts.toPandas()  # one row per bucket at most
-    total = got[got["bucket"] < 0]
-    n_pos, n_neg = (int(total["pos"].sum()), int(total["neg"].sum()))
-    got = got[got["bucket"] >= 0]
+    got = counts.toArrow()  # one row per bucket at most, 20 bytes each
+    bucket, pos, neg = (got.column(c).to_numpy() for c in ("bucket", "pos", "neg"))
+    total, real = bucket < 0, bucket >= 0
+    n_pos, n_neg = int(pos[total].sum()), int(neg[total].sum())
     ratio = np.zeros(1 << BUCKET_BITS)
-    ratio[got["bucket"]] = np.log((got["pos"] + 1) / (n_pos + 2)) - np.log((got["neg"] + 1) / (n_neg + 2))
+    ratio[bucket[real]] = np.log((pos[real] + 1) / (n_pos + 2)) - np.log((neg[real] + 1) / (n_neg + 2))
     return ratio
 
 
@@ -89,9 +89,10 @@ def gradient(sample: DataFrame, weights: np.ndarray, bias: float) -> tuple[float
     not depend on how long the texts are.
     """
     schema = pa.schema([("loss", pa.float64()), ("error", pa.float64()), ("grad", pa.binary())])
+    sent = sample.sparkSession.sparkContext.broadcast(weights)  # one number per bucket
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grad, loss, error = np.zeros(1 << BUCKET_BITS), 0.0, 0.0
+        weights, grad, loss, error = sent.value, np.zeros(1 << BUCKET_BITS), 0.0, 0.0
         for cols in rows_of(batches, 100):
             for y, share, raw in zip(cols["label"], cols["share"], cols["buckets"], strict=True):
                 r = np.frombuffer(raw, dtype="<i4")
@@ -102,11 +103,12 @@ def gradient(sample: DataFrame, weights: np.ndarray, bias: float) -> tuple[float
                 loss += share * (np.logaddexp(0, z) - y * z)
         yield pa.RecordBatch.from_pydict({"loss": [loss], "error": [error], "grad": [grad.tobytes()]}, schema=schema)
 
-    parts = sample.mapInArrow(sums, "loss double, error double, grad binary").collect()  # one row per task, of which there are PARTS at most
+    parts = sample.mapInArrow(sums, "loss double, error double, grad binary").toArrow()  # one row per task, of which there are PARTS at most
+    sent.destroy()
     total = np.zeros(1 << BUCKET_BITS)
-    for r in parts:
-        total += np.frombuffer(r.grad)
-    return sum(r.loss for r in parts), total, sum(r.error for r in parts)
+    for g in parts.column("grad"):
+        total += np.frombuffer(g.as_buffer())
+    return float(parts.column("loss").to_numpy().sum()), total, float(parts.column("error").to_numpy().sum())
 
 
 def logistic(sample: DataFrame, scale: np.ndarray, prior: float, ridge: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
