@@ -145,7 +145,9 @@ class WordCoder:
     """Whole texts to ids by the tokenizers library, each word encoded once while it is remembered.
 
     Only for tokenizers that drop white space and let no token reach over it, so
-    that a text's ids are those of its words.
+    that a text's ids are those of its words.  Words are remembered for two
+    generations; one that is met again moves into the younger, so that common
+    words stay when the older is forgotten.
     """
 
     _made: dict[str, WordCoder] = {}
@@ -157,6 +159,7 @@ class WordCoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
@@ -167,10 +170,11 @@ class WordCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         parts = [library_words(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
-        if len(self.known) + len(new) > CACHE_LIMIT:
-            self.known.clear()
-            new = list({w for p in parts for w in p})
+        if len(self.known) >= CACHE_LIMIT // 2:
+            self.known, self.older = {}, self.known
+        missing = {w for p in parts for w in p if w not in self.known}
+        new = [w for w in missing if w not in self.older]
+        self.known.update((w, self.older[w]) for w in missing if w in self.older)
         for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
@@ -187,7 +191,6 @@ def library_words(text: str) -> list[str]:
 
 
 MANIFEST = "part int, shard int, folder string, name string, n_docs long, n_tokens long"
-CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 SHARDS = pa.schema([
     ("part", pa.int32()), ("shard", pa.int32()), ("folder", pa.string()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
 ])
@@ -198,26 +201,23 @@ def write(
 ) -> DataFrame:
     """Encode every whole text (doc_id, text) and write shards in ascending doc_id order; return their manifest.
 
-    The ids are written once and then dealt out by ranges of doc_id of about
-    ``chars_per_shard`` characters; a range with more is cut into several
-    shards, so that no task holds more than one.  A null text counts as empty
-    and has the end id only, a null doc_id comes first, rows with the same
-    doc_id stand side by side in the order of their ids' bytes, and no documents
-    give no shards.  The manifest, a written table, has one row per shard.
+    Texts are shuffled once, by ranges of doc_id of about ``chars_per_shard``
+    characters, and encoded where they arrive; a range with more is cut into
+    several shards, so that no task holds more than one.  A null text counts as
+    empty and has the end id only, a null doc_id comes first, rows with the same
+    doc_id stand side by side in the order of their texts' hashes, so that
+    ranges may part them, and no documents give no shards.  The manifest, a
+    written table, has one row per shard.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     ranges = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // chars_per_shard + 1
     folder = stage_path(spark, "token-shards")
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder.of(path)
-        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        for cols in rows_of(batches, 200):
-            yield pa.RecordBatch.from_pydict({"doc_id": cols["doc_id"], "ids": [raw + end for raw in coder.encode(cols["text"])]}, schema=CODED)
-
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, coder = TaskContext.get().partitionId(), WordCoder.of(path)
+        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         doc_ids, raw, held, shard = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -227,8 +227,9 @@ def write(
             row = {"part": [part], "shard": [shard], "folder": [folder], "name": [name], "n_docs": [len(raw)], "n_tokens": [held // 4]}
             return pa.RecordBatch.from_pydict(row, schema=SHARDS)
 
-        for cols in rows_of(batches):
-            for doc_id, ids in zip(cols["doc_id"], cols["ids"], strict=True):
+        for cols in rows_of(batches, 200):
+            for doc_id, coded in zip(cols["doc_id"], coder.encode(cols["text"]), strict=True):
+                ids = coded + end
                 if raw and held + len(ids) > 4 * chars_per_shard:
                     yield flush()
                     doc_ids, raw, held, shard = [], [], 0, shard + 1
@@ -238,8 +239,7 @@ def write(
         if raw:
             yield flush()
 
-    coded = materialise(rows.mapInArrow(code, "doc_id long, ids binary"))
-    placed = coded.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "ids")
+    placed = rows.repartitionByRange(ranges, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     return materialise(placed.mapInArrow(save, MANIFEST))
 
 
