@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from cellframe.config import CLASSES, LEGACY17, SERIES, WINDOWS, GridSpec
 from cellframe.functions import coerce, metrics, text
 from cellframe.functions.lineage import materialise
-from cellframe.operators import align, augment, evaluate, features, master, model_data, record_labels, rules, stats, step_ends, structure, train
+from cellframe.operators import align, augment, evaluate, features, intervals, master, model_data, record_labels, rules, stats, step_ends, structure, train
 from cellframe.plans import fleet
 from cellframe.sources import labels, sheets
 
@@ -390,6 +390,16 @@ def _(spark, sf):
     return align.match_raw_files(m, raw)
 
 
+@query("J03_event_intervals")
+def _(spark, sf):
+    """Every event within ``value`` hours of an error of the same user."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    until = F.col("at") + F.floor(F.col("value") * 3600).cast("long") * 1_000_000
+    spans = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("opener"), F.col("at").alias("opened"), until.alias("until"))
+    near = intervals.bucketed_interval_join(e.select("user_id", "event_id", "at"), spans, ["user_id"], "at", "opened", "until")
+    return near.select("user_id", "opener", "event_id", (F.col("at") - F.col("opened")).alias("after_us"))
+
+
 @query("J03_interval_join")
 def _(spark, sf):
     w = align.phase_windows(named_phases(spark, sf))

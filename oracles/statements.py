@@ -152,6 +152,8 @@ LEFT JOIN (SELECT file, count(*) AS cycles, count(*) FILTER ("Label" = 'GOOD') A
 add("J01_raw_file_match", ["master"], """
 SELECT m.file, m."Cycle", replace(m.file, '.xlsx', '') AS file_key, CASE WHEN c.c_custkey IS NOT NULL THEN 'cell_' || c.c_custkey || '_labeled.xlsx' END AS raw_file
 FROM master m LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 11 <> 0) c ON m.file = 'cell_' || c.c_custkey || '.xlsx'""")
+add("J03_event_intervals", [], """SELECT o.user_id, o.event_id AS opener, e.event_id, epoch_us(e.ts) - epoch_us(o.ts) AS after_us FROM events o JOIN events e ON e.user_id = o.user_id
+AND epoch_us(e.ts) BETWEEN epoch_us(o.ts) AND epoch_us(o.ts) + CAST(floor(o.value * 3600) AS BIGINT) * 1000000 WHERE o.event_type = 'error'""")
 add("J03_interval_join", ["inside"], f"SELECT {K}, ph, rec_no FROM inside")
 add("W08_W09_phase_offsets", ["offsets"], f"""SELECT {K}, ph, {r6("epoch_us(t0) / 1e6", "t0")}, {r6("off", "offset")} FROM offsets""")
 add("T01_aligned_series", ["aligned"], f"SELECT {K}, ph, rec_no, {rq('x', 'voltage_v', 'current_a', 'power_w')} FROM aligned")
