@@ -8,6 +8,7 @@ does not show.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ from pyspark.sql import types as T
 
 from cellframe.config import CLASSES, LEGACY17, SERIES, WINDOWS, GridSpec
 from cellframe.functions import coerce, metrics, text
-from cellframe.functions.lineage import materialise
+from cellframe.functions.lineage import materialise, stage_path
 from cellframe.operators import align, augment, evaluate, features, intervals, master, model_data, record_labels, rules, stats, step_ends, structure, train
 from cellframe.plans import fleet
-from cellframe.sources import labels, sheets
+from cellframe.sources import labels, sheets, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = ["file", "Cycle"]
@@ -659,6 +660,27 @@ def _cells(spark, sf) -> DataFrame:
 PREP = ["CE", "IR_proxy", "DChg_Spec_mAhg", "Chg_Energy_Wh", "standby_V_end", "standby_t_end_h"]
 
 
+@query("S12_S13_S14_L01_published")
+def _(spark, sf):
+    """Cycle master, split and feature names published together and read back; rows that differ from what was written count as lost or added."""
+    m = _cells(spark, sf)
+    tables = {
+        "cycle_master": m, "labels": m.select(*KEYS, "cycle_label_3class", "cycle_label_3name"), "split": model_data.group_split(m),
+        "features": sinks.feature_list(spark, PREP),
+    }
+    root = stage_path(spark, "published")
+    sinks.publish(spark, tables, root, "run-1", fmt={"labels": "csv", "split": "json"}, by=["cycle_label_3name"])
+    back = sinks.published(spark, root)
+    out = []
+    for name, written in tables.items():
+        count = lambda t, c, cols=written.columns: t.groupBy(F.xxhash64(*[F.col(f"`{x}`") for x in cols], *[F.col(f"`{x}`").isNull() for x in cols]).alias("row")).agg(F.count(F.lit(1)).alias(c))
+        both = count(written, "w").join(count(back[name], "r"), "row", "full").select(F.coalesce("w", F.lit(0)).alias("w"), F.coalesce("r", F.lit(0)).alias("r"))
+        total = lambda c, n: F.coalesce(F.sum(c), F.lit(0)).alias(n)
+        n = both.agg(total(F.col("r"), "rows"), total(F.greatest(F.col("w") - F.col("r"), F.lit(0)), "lost"), total(F.greatest(F.col("r") - F.col("w"), F.lit(0)), "added"))
+        out.append(n.select(F.lit(name).alias("published"), "rows", "lost", "added"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("M02_group_split")
 def _(spark, sf):
     return model_data.group_split(_cells(spark, sf))

