@@ -133,8 +133,11 @@ def _(spark, sf):
 
 @query("S02_absent_sheets")
 def _(spark, sf):
+    """Workbooks of all customers; the step sheets of some and the cycle sheets of others were never delivered."""
+    cell = F.regexp_extract("file", r"_(\d+)\.", 1).cast("bigint")
     customers = fleet.table(spark, sf, "customer").select(F.concat(F.lit("cell_"), F.col("c_custkey").cast("string"), F.lit(".xlsx")).alias("file"))
-    return sheets.absent_sheets(customers, step=fleet.step(spark, sf), cycle=fleet.cycle_sheet(spark, sf))
+    step = fleet.step(spark, sf).where(F.pmod(cell, F.lit(13)) != 4)
+    return sheets.absent_sheets(customers, step=step, cycle=fleet.cycle_sheet(spark, sf).where(F.pmod(cell, F.lit(17)) != 3))
 
 
 def _label_sheets(spark, sf) -> DataFrame:
@@ -450,7 +453,10 @@ def _(spark, sf):
     known = fleet.table(spark, sf, "customer").where(F.pmod("c_custkey", F.lit(11)) != 0).select(F.concat(F.lit("cell_"), F.col("c_custkey").cast("string"), F.lit(".xls")).alias("file"))
     # every kept cycle is asked for here, so that invalid structures are reported too
     asked = structure.drop_formation_and_last(structure.step_counts(fleet.step(spark, sf)).select(*KEYS))
-    return align.series_issues(asked, known, valid_cycles(spark, sf), g.select(*KEYS), align.full_window(g).select(*KEYS))
+    # some files cannot be opened and some cycles break off
+    unreadable = known.where(F.pmod(F.regexp_extract("file", r"_(\d+)\.", 1).cast("bigint"), F.lit(13)) == 5).withColumn("error", F.lit("OSError"))
+    failed = asked.where(F.pmod("Cycle", F.lit(9)) == 4).withColumn("error", F.concat(F.lit("ValueError "), F.col("Cycle").cast("string")))
+    return align.series_issues(asked, known, valid_cycles(spark, sf), g.select(*KEYS), align.full_window(g).select(*KEYS), unreadable, failed)
 
 
 # --- features ----------------------------------------------------------------

@@ -30,9 +30,9 @@ def digest(source: str, keys: str, order: str, doubles: list[str], wholes: list[
 
 add("S01_file_listing", [], "SELECT 'orders.parquet' AS file, count(*) AS rows FROM orders")
 add("S02_absent_sheets", ["step", "cycle_sheet"], """
-SELECT file, CAST(NULL AS INTEGER) AS "Cycle", CASE WHEN file NOT IN (SELECT file FROM step) THEN 'read_error:sheet_step_missing' ELSE 'read_error:sheet_cycle_missing' END AS reason
-FROM (SELECT 'cell_' || c_custkey || '.xlsx' AS file FROM customer)
-WHERE file NOT IN (SELECT file FROM step) OR file NOT IN (SELECT file FROM cycle_sheet)""")
+SELECT file, CAST(NULL AS INTEGER) AS "Cycle", CASE WHEN c % 13 = 4 OR file NOT IN (SELECT file FROM step) THEN 'read_error:sheet_step_missing' ELSE 'read_error:sheet_cycle_missing' END AS reason
+FROM (SELECT 'cell_' || c_custkey || '.xlsx' AS file, c_custkey AS c FROM customer)
+WHERE c % 13 = 4 OR c % 17 = 3 OR file NOT IN (SELECT file FROM step) OR file NOT IN (SELECT file FROM cycle_sheet)""")
 block("labelsheets", ["cyc"], """
 SELECT file, sheet, "Cycle", CASE k % 4 WHEN 0 THEN 'good' WHEN 1 THEN 'BAD' WHEN 2 THEN 'GOOD' END AS "Label" FROM cyc
 CROSS JOIN (VALUES ('labels'), ('cycle_labels'), ('notes')) AS t(sheet)
@@ -165,7 +165,9 @@ add("T05_F11_prefixes", ["fullgrid"], digest(f"fullgrid JOIN {WIN} ON t_sec <= w
 add("T06_wide_to_long", ["fullgrid"], f"SELECT {K}, t_sec, {rq('voltage_v', 'current_a')} FROM fullgrid")
 add("F07_series_issues", ["cand", "valid", "aligned", "fullgrid"], """
 SELECT file, "Cycle", reason FROM (SELECT c.file, c."Cycle",
-  CASE WHEN CAST(regexp_extract(c.file, '_(\\d+)\\.', 1) AS BIGINT) % 11 = 0 THEN 'raw_excel_not_found' WHEN v.file IS NULL THEN 'invalid_step_structure'
+  CASE WHEN CAST(regexp_extract(c.file, '_(\\d+)\\.', 1) AS BIGINT) % 11 = 0 THEN 'raw_excel_not_found'
+       WHEN CAST(regexp_extract(c.file, '_(\\d+)\\.', 1) AS BIGINT) % 13 = 5 THEN 'file_read_error:OSError' WHEN c."Cycle" % 9 = 4 THEN 'cycle_error:ValueError ' || c."Cycle"
+       WHEN v.file IS NULL THEN 'invalid_step_structure'
        WHEN a.file IS NULL THEN 'empty_aligned_cycle' WHEN f.file IS NULL THEN 'missing_values_in_full_window' END AS reason
 FROM cand c LEFT JOIN valid v ON c.file = v.file AND c."Cycle" = v."Cycle"
 LEFT JOIN (SELECT DISTINCT file, "Cycle" FROM aligned) a ON c.file = a.file AND c."Cycle" = a."Cycle"
