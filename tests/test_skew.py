@@ -10,6 +10,7 @@ from cellframe.functions import skew
 from cellframe.functions.skew import (
     chunked_previous, chunked_running_sum, exact_mad, exact_quantiles, rank_by_hash, running_index, salted_lookup,
 )
+from cellframe.operators.align import interval_join
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +109,25 @@ def test_hash_rank_is_dense_and_independent_of_partitioning(skewed):
     assert sum(r["count"] for r in per_key) == len(one)
     hot = [one[r["id"]] for r in df.where("k = 0").collect()]
     assert sorted(hot) == list(range(1, len(hot) + 1))
+
+
+def test_lookups_of_repeated_rows_are_not_broadcast(spark):
+    """Exploded rows look smaller to the planner than they are; neither side may go through the driver."""
+    few = spark.range(100).select((F.col("id") % 10).alias("k"), "id", F.timestamp_seconds("id").alias("at"))
+    rows = few.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    spans = few.groupBy("k").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    many = [salted_lookup(rows, spans, ["k"], ["id", "i"], how) for how in ("inner", "left", "left_semi", "left_anti")]
+    many.append(interval_join(rows, spans, ["k"], "at", "a", "b", ["id", "i"]))
+    for df in many:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert many[-1].count() == 5000
+
+
+def test_class_lookup_is_a_join(skewed):
+    df, _ = skewed
+    look = df.groupBy("k").agg(F.count("*").alias("n")).where("k < 30")
+    for how in ("inner", "left"):
+        a, b = skew.class_lookup(df, look, ["k"], how), df.join(look, "k", how)
+        assert sorted(map(tuple, a.select(sorted(a.columns)).na.fill(-1.0).collect())) == sorted(map(tuple, b.select(sorted(b.columns)).na.fill(-1.0).collect()))
