@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cellframe.config import ALIGN_PHASES
 from cellframe.functions import skew
 from cellframe.functions.skew import (
     chunked_previous, chunked_running_sum, exact_mad, exact_quantiles, rank_by_hash, running_index, salted_lookup,
 )
-from cellframe.operators.align import interval_join
+from cellframe.operators import structure
+from cellframe.operators.align import interval_join, phase_offsets, phase_windows
 
 
 @pytest.fixture(scope="module")
@@ -131,3 +133,21 @@ def test_class_lookup_is_a_join(skewed):
     for how in ("inner", "left"):
         a, b = skew.class_lookup(df, look, ["k"], how), df.join(look, "k", how)
         assert sorted(map(tuple, a.select(sorted(a.columns)).na.fill(-1.0).collect())) == sorted(map(tuple, b.select(sorted(b.columns)).na.fill(-1.0).collect()))
+
+
+def test_tables_that_both_grow_are_not_broadcast(spark):
+    """Files and filters look small to the planner; the joins of cycles, phases and chunks must not go through the driver."""
+    phase = spark.range(60).select(
+        F.lit("a").alias("file"), F.floor(F.col("id") / 3).cast("int").alias("Cycle"), F.element_at(F.array(*[F.lit(p) for p in ALIGN_PHASES]), (F.col("id") % 3 + 1).cast("int")).alias("phase"),
+        F.timestamp_seconds(F.col("id") * 10).alias("Oneset_Date"), F.timestamp_seconds(F.col("id") * 10 + 5).alias("End_Date"),
+    )
+    record = spark.range(600).select(F.lit("a").alias("file"), F.floor(F.col("id") / 30).cast("int").alias("Cycle"), F.col("id").alias("rec_no"), F.timestamp_seconds("id").alias("record_date"))
+    step = phase.select("file", "Cycle", F.lit("cc_dchg").alias("Step_Type_norm"), F.lit(1).alias("Step_Index"), F.lit(1.0).alias("Step_Number"), F.lit(3.0).alias("V_end"))
+    windows = phase_windows(phase)
+    chunked = running_index(record.withColumn("chunk", F.floor(F.col("rec_no") / 100)), ["file"], ["rec_no"], ["chunk"], "n")
+    offsets = skew.merge_join(windows, phase_offsets(interval_join(record, windows, ["file", "Cycle"], "record_date", "onset", "phase_end", ["rec_no"])), ["file", "Cycle", "ph"])
+    for df, rows in ((chunked, 600), (offsets, 60), (structure.phase_steps(step, step.select("file", "Cycle").distinct()), 60)):
+        assert df.count() == rows
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
