@@ -1,10 +1,14 @@
 """Structure checks and rules on hand-made steps."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from cellframe.functions import metrics, text
 from cellframe.operators import master, rules, structure
+from cellframe.plans import fleet as sheet_plans
 from cellframe.sources import sheets
 
 STEP = "file string, `Cycle Index` int, `Step Index` int, `Step Type` string, `Step Time(h)` double, `End Voltage(V)` double, `Chg. Cap.(Ah)` double, `DChg. Cap.(Ah)` double, `DChg. Spec. Cap.(mAh/g)` double, `Energy(Wh)` double"
@@ -86,3 +90,28 @@ def test_no_rows_leave_unexplained(fleet):
     whole = [r["file"] for r in i.where("reason like 'skip_file%' or reason like 'read_error%'").collect()]
     rest = candidates.where(~F.col("file").isin(whole)).join(i, ["file", "Cycle"], "left_anti").join(m, ["file", "Cycle"], "left_anti")
     assert rest.count() == 0
+
+
+def test_norm_text_is_that_of_the_patterns(spark):
+    rng = random.Random(1)
+    letters = "aZ9_. -<>\t\n#\u00e9\u0130\u00df\U0001f600\0$\\AbC__--  "
+    rows = [("".join(rng.choice(letters) for _ in range(rng.randrange(14))),) for _ in range(3000)] + [(None,), ("",), ("__-- __",)]
+    s = F.col("s")
+    kept = F.regexp_replace(F.translate(F.lower(F.trim(s)), "- ", "__"), "[^a-z0-9_.]+", "")
+    df = spark.createDataFrame(rows, "s string").select(text.norm_text(s).alias("got"), F.regexp_replace(kept, "_+", "_").alias("want"))
+    assert df.where(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_step_scans_are_short_enough_to_be_compiled(spark, tmp_path, capsys):
+    """The JVM leaves methods over 8,000 bytes uncompiled, which made the step scan several times slower."""
+    orders = spark.range(40).select((F.col("id") % 4).alias("o_custkey"), F.col("id").alias("o_orderkey"), F.to_date(F.lit("2020-01-01")).alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    sheet = sheet_plans.step(spark, str(tmp_path))
+    named = structure.phase_steps(sheet, structure.valid_cycles(structure.audit(structure.step_counts(sheet))))
+    for df in (named.select("file", "Cycle", "phase", "Oneset_Date", "End_Date"), master.phase_pivot(sheet)):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows no code before it has run
+        try:
+            df.explain("codegen")
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))) <= 8000
