@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +140,18 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return docs.withColumn(name, F.pandas_udf(run, "string")(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _ranged(rows: DataFrame, chars_per_task: int) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text) with the range ``part`` of doc_id they fall in, about ``chars_per_task`` characters each."""
+    total, some = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("doc_id")).first()
+    ranges = total // chars_per_task + 1
+    if ranges == 1 or not some:
+        return rows.withColumn("part", F.lit(0)), 1
+    shares = [k / ranges for k in range(1, ranges)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 100 * ranges)).first()[0]))  # one number per range
+    part = F.aggregate(F.array(*[F.lit(x) for x in bounds]), F.lit(0), lambda n, x: n + (F.col("doc_id") > x).cast("int"))
+    return rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)), len(bounds) + 1
+
+
 def against_next(docs: DataFrame, chars_per_task: int = CHARS_PER_TASK) -> DataFrame:
     """Each document (doc_id, text) against its half-edited text and the next document by doc_id.
 
@@ -149,48 +160,34 @@ def against_next(docs: DataFrame, chars_per_task: int = CHARS_PER_TASK) -> DataF
     are ordered by text.  An empty table gives no rows.
 
     Documents are dealt out by ranges of doc_id.  A task compares neighbours as
-    they pass; its last document and the next range's first meet in a join of
-    one row per range.
+    they pass; behind a range's last document stands a copy of the next range's
+    first, one row per range.  Texts cross one shuffle and results are not staged.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    ordered = rows.repartitionByRange(total // chars_per_task + 1, "doc_id").sortWithinPartitions("doc_id", "text")
-    edge = [("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())]
-    schema = pa.schema([*DIGEST, *edge])
+    rows, ranges = _ranged(rows, chars_per_task)
+    order = Window.orderBy("part")  # one row per range
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    least = rows.groupBy("part").agg(F.min(F.struct("doc_id")).alias("least")).select(F.col("part").alias("of"), F.col("least.doc_id").alias("least"))
+    at_edge = rows.join(F.broadcast(least), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    firsts = at_edge.groupBy("part", "doc_id").agg(F.min("text").alias("text"))
+    closing = firsts.select(
+        F.coalesce(F.lag("part").over(order), F.max("part").over(whole)).alias("part"), "doc_id", "text", F.lit(1).alias("closing"),
+    )
+    dealt = rows.select("part", "doc_id", "text", F.lit(0).alias("closing")).unionByName(closing)
+    ordered = dealt.repartitionByRange(ranges, "part").sortWithinPartitions("part", "closing", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), None
-        blank = dict.fromkeys(schema.names)
+        before = None
         for cols in rows_of(batches):
             out = []
-            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
+            for doc_id, text, closing in zip(cols["doc_id"], cols["text"], cols["closing"], strict=True):
                 sigs = signatures(text)
-                if before is None:
-                    out.append(blank | {"doc_id": doc_id, "part": part, "edge": "first", "text": text})
-                else:
-                    out.append(blank | compared(*before, text, sigs))
-                before = doc_id, text, sigs
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if before is not None:
-            yield pa.RecordBatch.from_pylist([blank | {"doc_id": before[0], "part": part, "edge": "last", "text": before[1]}], schema=schema)
-
-    staged = materialise(ordered.mapInArrow(run, f"{FIELDS}, part int, edge string, text string"))
-    inner = staged.where(F.col("edge").isNull()).select(*DIGEST.names)
-    firsts = staged.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
-    order = Window.orderBy("next_part")  # one narrow row per range
-    pairs = firsts.select(
-        F.col("next_part").alias("part"), F.lead("next_part").over(order).alias("later"),
-        F.min("next_part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("start"),
-    ).select("part", F.coalesce("later", "start").alias("next_part"))
-    edges = staged.where("edge = 'last'").select("part", "doc_id", "text").join(pairs, "part").join(firsts, "next_part").select("doc_id", "text", "following")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in rows_of(batches):
-            yield pa.RecordBatch.from_pylist(
-                [compared(d, t, signatures(t), f, signatures(f)) for d, t, f in zip(cols["doc_id"], cols["text"], cols["following"], strict=True)], schema=DIGEST,
-            )
+                if before is not None:
+                    out.append(compared(*before, text, sigs))
+                before = None if closing else (doc_id, text, sigs)
+            yield pa.RecordBatch.from_pylist(out, schema=DIGEST)
 
-    return inner.unionByName(edges.mapInArrow(finish, FIELDS))
+    return ordered.select("doc_id", "text", "closing").mapInArrow(run, FIELDS)
 
 
 def partitions_of_lengths(percent: int) -> np.ndarray:

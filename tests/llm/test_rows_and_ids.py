@@ -140,3 +140,16 @@ def test_the_regression_stands_at_its_minimum(spark):
     assert np.abs(x.T @ (p - y) / len(y) + 1e-2 * w).max() < 2e-3 and abs((p - y).mean()) < 2e-3
     loss, grad, error = toxicity.gradient(sample, weights, bias)
     assert loss == pytest.approx(-(np.log(np.where(y == 1, p, 1 - p))).mean()) and error == pytest.approx((p - y).mean(), abs=1e-9)
+
+
+def test_spot_signatures_stage_no_results(spark, monkeypatch):
+    from cellframe.llm import spot_signatures
+
+    monkeypatch.setattr(spot_signatures, "materialise", lambda df: (_ for _ in ()).throw(AssertionError("written")))
+    rows = [(None, "z y"), (None, "a b"), (3, None), (3, "x"), (7, "the cat and the dog"), (2, "of a thing " * 40), (9, "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = spot_signatures.against_next(docs, chars_per_task=60).collect()
+    order = sorted([(d, t or "") for d, t in rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    sets = [spot_signatures.signatures(t) for _, t in order]
+    want = [spot_signatures.compared(*order[i], sets[i], order[(i + 1) % len(order)][1], sets[(i + 1) % len(order)]) for i in range(len(order))]
+    assert sorted(map(str, (r.asDict() for r in got))) == sorted(map(str, want))
